@@ -24,7 +24,7 @@ FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "punctuati
 #: Weight of the pooled covariance, and of the scaled identity.
 SHRINK_POOLED, SHRINK_IDENTITY = 0.1, 0.01
 #: A class's mean and covariance are fitted on standardised statistics, clipped here.
-CLIP = 12.0
+CLIP = 6.0
 
 _KIND = np.zeros(256, dtype=np.int64)  # 0 other, 1 upper, 2 lower or non-ASCII, 3 digit, 4 symbol, 5 punctuation, 6 space
 _KIND[ord("A") : ord("Z") + 1] = 1
@@ -39,8 +39,12 @@ for _c in b" \t\n\x0b\x0c\r":
     _KIND[_c] = 6
 
 
-def _logit(part: float, whole: float) -> float:
-    return math.log((part + 0.5) / (whole - part + 0.5)) if whole >= part else 0.0
+def _logit(part: float, whole: float, usual: float, weight: float) -> float:
+    """Log odds of a share, drawn towards its usual value in prose as if ``weight`` more units had been seen.
+
+    A text of a few words then looks usual instead of extreme.
+    """
+    return math.log((part + weight * usual) / (max(whole - part, 0.0) + weight * (1.0 - usual)))
 
 
 def statistics(text: str | None) -> list[float]:
@@ -57,18 +61,18 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     packed = len(zlib.compress(raw, 1)) if raw else 8
     return [
-        math.log1p(n),
-        math.log1p(solid / n if n else 0.0),
-        _logit(float(kinds[1]), solid),
-        _logit(float(kinds[3]), solid),
-        _logit(float(kinds[4]), solid),
-        _logit(float(kinds[5]), solid),
-        _logit(float(kinds[1] + kinds[2]), solid),
-        _logit(float(len(counts)), n),
-        _logit(float(len(lines) - len(set(lines))), len(lines)),
-        math.log((packed + 1.0) / (len(raw) + 16.0)),
-        (entropy + 0.1) / (math.log1p(n) + 0.1),
-        _logit(float(sum(len(x) < 40 for x in lines)), len(lines)),
+        math.log(n + 20.0),
+        math.log((solid + 50.0) / (n + 10.0)),
+        _logit(float(kinds[1]), solid, 0.03, 60.0),
+        _logit(float(kinds[3]), solid, 0.005, 200.0),
+        _logit(float(kinds[4]), solid, 0.002, 100.0),
+        _logit(float(kinds[5]), solid, 0.03, 60.0),
+        _logit(float(kinds[1] + kinds[2]), solid, 0.95, 60.0),
+        _logit(float(len(counts)), n, 0.8, 20.0),
+        _logit(float(len(lines) - len(set(lines))), len(lines), 0.03, 5.0),
+        math.log((packed + 60.0) / (len(raw) + 120.0)),
+        (entropy + 3.0) / (math.log1p(n) + 3.0),
+        _logit(float(sum(len(x) < 40 for x in lines)), len(lines), 0.1, 4.0),
     ]
 
 

@@ -22,10 +22,10 @@ from .common import arrow_map, fold, small_batches, written
 TOKEN = re.compile(r"\w+")
 #: The classifier is fitted on about this many labelled documents of a class at most, chosen by a hash of their ids.
 LABELLED_BOUND = 20_000
-#: Word beginnings that stand in for words never seen in training.
-PREFIXES = (5, 4)
-#: Weight of the prior in pseudo-documents, least z of a scoring token, most such tokens.
-PRIOR, LEAST_Z, MOST_TOKENS = 50.0, 4.0, 200_000
+#: Lengths of word beginnings that stand in for words without weights, longest first.
+PREFIXES = (8, 7, 6, 5, 4)
+#: Weight of the prior in pseudo-documents; least z, least log-odds and most number of scoring tokens.
+PRIOR, LEAST_Z, LEAST_ODDS, MOST_TOKENS = 50.0, 3.5, 2.0, 100_000
 #: What a token without evidence costs: it keeps the expected score of clean text below zero.
 DRIFT = 0.2
 MOST_SCORE = 8.0
@@ -65,14 +65,17 @@ class ToxicModel:
     slope: float = 1.0
     offset: float = 0.0
 
+    def __post_init__(self):
+        self.stems = {w[1:5] for w in self.weights if w[0] == "^"}
+
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens; (first, last token, score in nats beyond chance) of each significant passage."""
         get, found = self.weights.get, []
         words = TOKEN.findall((text or "").lower())
         for i, w in enumerate(words):
             s = get(w)
-            if s is None:
-                s = get("^" + w[:5]) or get("^" + w[:4])
+            if s is None and self.stems and w[:4] in self.stems:
+                s = next((x for n in PREFIXES if (x := get("^" + w[:n]))), None)
             if s:
                 found.append((i, s))
         if not found:
@@ -88,9 +91,8 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.evidence(text) + self.offset))))
 
 
-def _features(text: str | None) -> set[str]:
-    words = set(TOKEN.findall((text or "").lower()))
-    return words | {"^" + w[:n] for w in words for n in PREFIXES if len(w) > n}
+def _words(text: str | None) -> set[str]:
+    return set(TOKEN.findall((text or "").lower()))
 
 
 def sampled(rows: DataFrame, bound: int = LABELLED_BOUND) -> DataFrame:
@@ -110,36 +112,45 @@ def fit(rows: DataFrame) -> ToxicModel | None:
     if set(sizes) != {0, 1}:
         return None
 
-    def state():
-        counts: dict[str, list[int]] = {}
-
-        def each(b):
-            for text, y in zip(b["text"], b["y"], strict=True):
-                for w in _features(text):
-                    c = counts.get(w)
-                    if c is None:
-                        c = counts[w] = [0, 0]
-                    c[y] += 1
-
-        def finish():
-            if counts:
-                yield {"token": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]}
-
-        each.finish = finish
-        return each
-
     clean, toxic = sizes[0], sizes[1]
-    counted = arrow_map(rows.select("text", "y"), None, "token string, clean long, toxic long", state).groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / F.lit(clean + toxic)
-    odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
-    scored = counted.where("toxic > 0").withColumn("weight", odds("toxic", toxic) - odds("clean", clean))
-    scored = scored.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-    best = scored.where((F.col("z") >= LEAST_Z) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
+
+    def weigh(features, most: int, least_z: float = LEAST_Z) -> list:
+        """The tokens that ``features`` draws from a document and that clearly speak for toxicity."""
+
+        def state():
+            counts: dict[str, list[int]] = {}
+
+            def each(b):
+                for text, y in zip(b["text"], b["y"], strict=True):
+                    for w in features(text):
+                        c = counts.get(w)
+                        if c is None:
+                            c = counts[w] = [0, 0]
+                        c[y] += 1
+
+            def finish():
+                if counts:
+                    yield {"token": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]}
+
+            each.finish = finish
+            return each
+
+        counted = arrow_map(rows.select("text", "y"), None, "token string, clean long, toxic long", state).groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / F.lit(clean + toxic)
+        odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
+        scored = counted.where("toxic > 0").withColumn("weight", odds("toxic", toxic) - odds("clean", clean))
+        scored = scored.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
+        return scored.where((F.col("z") >= least_z) & (F.col("weight") >= LEAST_ODDS) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "token").limit(most).collect()
+
+    best = weigh(_words, MOST_TOKENS)
+    known = {r["token"] for r in best}
+    # beginnings are judged by the other words alone, else a toxic word would taint all that begin like it
+    best += weigh(lambda text: {"^" + w[:n] for w in _words(text) - known for n in PREFIXES if len(w) >= n}, MOST_TOKENS, LEAST_Z + 1.5)
     weights = {r["token"]: min(MOST_SCORE, float(r["weight"])) for r in best}
 
     # Background: how often a clean document's token scores, from the same counts.
     tokens = 300.0 * clean
-    rates = [((r["clean"] + 0.5) / tokens, weights[r["token"]]) for r in best if not r["token"].startswith("^")]
+    rates = [((r["clean"] + 0.5) / tokens, weights[r["token"]]) for r in best]
     lam = _lambda(rates, DRIFT)
     model = ToxicModel(weights, DRIFT, lam, 0.1)
 
