@@ -206,7 +206,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, out: int
     """
     small_batches(docs.sparkSession)
     y = labels.where((fold("doc_id", parts) != out) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    model = fit(docs.select("doc_id", "text").join(sampled(y, bound), "doc_id"))
+    model = fit(docs.select("doc_id", "text").join(F.broadcast(sampled(y, bound)), "doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def state():
