@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_map, fold, small_batches
+from .common import WORD, arrow_map, fold, small_batches, written
 
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "punctuation", "letters", "distinct_words", "line_repeats", "compression", "word_entropy", "short_lines")
 #: Weight of the pooled covariance, and of the scaled identity.
@@ -104,8 +104,8 @@ def _moments(rows: DataFrame, center: np.ndarray | None, scale: np.ndarray | Non
         sums = {}
 
         def each(b):
-            for text, y in zip(b["text"], b["y"], strict=True):
-                x = np.array(statistics(text))
+            for x, y in zip(b["x"], b["y"], strict=True):
+                x = np.array(x)
                 if center is not None:
                     x = np.clip((x - center) / scale, -CLIP, CLIP)
                 s = sums.setdefault(int(y), np.zeros(1 + d + d * d))
@@ -130,7 +130,7 @@ def _moments(rows: DataFrame, center: np.ndarray | None, scale: np.ndarray | Non
 
 
 def fit(rows: DataFrame, pooled: float = SHRINK_POOLED, identity: float = SHRINK_IDENTITY) -> QuadraticDiscriminant | None:
-    """From (text, y) with y 0 or 1, all rows counted; None if a class is missing.
+    """From (x, y), a vector and 0 or 1, all rows counted; None if a class is missing.
 
     The first pass gives centre and scale, the second the classes' moments.
     """
@@ -158,28 +158,15 @@ def fit(rows: DataFrame, pooled: float = SHRINK_POOLED, identity: float = SHRINK
     return QuadraticDiscriminant(center, scale, np.array([means[0], means[1]]), np.array(factors), np.array(constants))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, out: int) -> DataFrame:
-    """(text, y) of labelled documents whose fold isn't ``out``; rows that repeat an id count as often as they stand."""
-    y = labels.where((fold("doc_id", parts) != out) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return docs.select("doc_id", "text").join(y, "doc_id").select("text", "y")
-
-
-def score(docs: DataFrame, model: QuadraticDiscriminant | None) -> DataFrame:
-    """``docs`` (doc_id, text) with ``score`` in 0 to 1; 0.5 for all where there is no model."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def state():
-        m = shared.value
+def vectors(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) of every row: about a hundred bytes that stand for the text from here on."""
+    return arrow_map(docs.select("doc_id", "text"), lambda b: {"doc_id": b["doc_id"], "x": [statistics(t) for t in b["text"]]}, "doc_id long, x array<double>")
 
-        def each(b):
-            if m is None:
-                return {"doc_id": b["doc_id"], "score": [0.5] * len(b["doc_id"])}
-            x = np.array([statistics(t) for t in b["text"]]).reshape(-1, len(FEATURES))
-            return {"doc_id": b["doc_id"], "score": m.score(x).tolist()}
-
-        return each
 
-    return arrow_map(docs.select("doc_id", "text"), None, "doc_id long, score double", state)
+def training_rows(measured: DataFrame, labels: DataFrame, label: str, parts: int, out: int) -> DataFrame:
+    """(x, y) of labelled rows whose fold isn't ``out``; rows that repeat an id count as often as they stand."""
+    y = labels.where((fold("doc_id", parts) != out) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    return written(measured.join(y, "doc_id").select("x", "y"), "quality-train")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, out: int = 1) -> DataFrame:
@@ -188,11 +175,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, out: int
     Null and empty texts are scored like any other.  Labels other than 0 and 1
     are left aside; with a class missing every score is 0.5.  Rows that repeat
     an id are each scored; a null id is never held out and never learnt from.
+    Texts are read once and never shuffled.
     """
     small_batches(docs.sparkSession)
-    model = fit(training_rows(docs, labels, "quality", parts, out))
+    measured = written(vectors(docs), "quality-vectors")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(measured, labels, "quality", parts, out)))
+
+    def score(b):
+        m = shared.value
+        x = np.array(b["x"]).reshape(-1, len(FEATURES))
+        return {"doc_id": b["doc_id"], "score": [0.5] * len(x) if m is None else m.score(x).tolist()}
+
     held = F.coalesce(fold("doc_id", parts) == out, F.lit(False))
-    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    made = arrow_map(measured, score, "doc_id long, score double")
+    return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, parts: int = 3, out: int = 1) -> DataFrame:
@@ -202,7 +198,8 @@ def accepted(docs: DataFrame, labels: DataFrame, parts: int = 3, out: int = 1) -
     no join is needed and rows with null or repeated ids keep their own answers.
     """
     small_batches(docs.sparkSession)
-    model = fit(training_rows(docs, labels, "quality", parts, out))
+    measured = written(vectors(docs), "quality-vectors")
+    model = fit(training_rows(measured, labels, "quality", parts, out))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
