@@ -19,13 +19,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, join_groups, small_batches, written
+from .common import arrow_map, bitmap, in_bitmap, join_groups, small_batches, written
 
 #: A cut where the hash of the last WINDOW characters has these bits clear: 2048 characters apart on average.
 WINDOW, CUT_BITS = 32, 11
 LEAST_CHUNK, MOST_CHUNK = 256, 8192
-#: Bits of the fixed filter that says which chunks may be shared; it errs only towards sharing.
-FILTER_BITS = 24
 #: Where a text may be cut without a token changing: the tokenizer drops these and no token spans them.
 SYNC = " \n"
 WORDS_CACHED = 400_000
@@ -199,21 +197,6 @@ def _results(enc: Encoder, doc_ids: list, ids: list[bytes], form: str) -> dict[s
     return out
 
 
-def _filter_of(shared: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of all shared digests, put together by Spark in at most 2^(FILTER_BITS - 5) rows."""
-    place = F.conv(F.substring(F.hex("h"), 1, 8), 16, 10).cast("long") % (1 << FILTER_BITS)
-    placed = shared.select(place.alias("place")).selectExpr("place div 32 AS at", "shiftleft(1L, CAST(place % 32 AS INT)) AS bit")
-    rows = placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return bits
-
-
-def _maybe(bits: np.ndarray, h: bytes) -> bool:
-    place = int.from_bytes(h[:4], "big") % (1 << FILTER_BITS)
-    return bool(bits[place >> 5] >> (place & 31) & 1)
-
-
 def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> DataFrame:
     """The ids of every row's whole text, as the tokenizers library gives them without special tokens.
 
@@ -237,7 +220,7 @@ def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> Dat
 
     counted = arrow_map(texts.select("text"), count, "h binary, n long").groupBy("h").agg(F.sum("n").alias("n"))
     shared = written(counted.where("n > 1"), "bpe-shared")
-    bits = spark.sparkContext.broadcast(_filter_of(shared))
+    bits = spark.sparkContext.broadcast(bitmap(shared, "h"))
 
     done = "n_tokens long, ids_sha256 string, decoded_sha256 string" if form == DIGESTS else "n_tokens long, ids array<int>"
     names = [x.split()[0] for x in done.split(", ")]
@@ -253,7 +236,7 @@ def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> Dat
             own = []
             for i, t, gaps, cores in cut:
                 hs = [digest(c) for c in cores]
-                marks = [h if _maybe(have, h) else None for h in hs]
+                marks = [h if in_bitmap(have, h) else None for h in hs]
                 (later if any(marks) else whole).append((i, t, gaps, cores, marks))
                 own += [c for c, m in zip(cores, marks, strict=True) if m is None]
                 for c, m in zip(cores, marks, strict=True):

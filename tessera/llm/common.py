@@ -99,3 +99,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     warm = rows.join(keys, F.col(key) == F.col("__hot_key"), "left_semi").join(F.broadcast(hot), key, how)
     cold = rows.join(keys, F.col(key) == F.col("__hot_key"), "left_anti").join(groups.where(F.col(size) <= floor), key, how)
     return cold.unionByName(warm)
+
+
+#: Bits of the fixed-size filters made by ``bitmap``.
+FILTER_BITS = 24
+
+
+def bitmap(keys: DataFrame, key: str):
+    """A bitmap of all binary ``key`` values by their first 32 bits, of fixed size whatever the number of keys.
+
+    Spark puts its words together in at most 2^(FILTER_BITS - 5) rows.  A key
+    may be in it by mistake but is never missed, so whoever uses it must do
+    with too much and gets the same result.
+    """
+    import numpy as np
+
+    place = F.conv(F.substring(F.hex(key), 1, 8), 16, 10).cast("long") % (1 << FILTER_BITS)
+    placed = keys.select(place.alias("place")).selectExpr("place div 32 AS at", "shiftleft(1L, CAST(place % 32 AS INT)) AS bit")
+    rows = placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return bits
+
+
+def in_bitmap(bits, key: bytes) -> bool:
+    place = int.from_bytes(key[:4], "big") % (1 << FILTER_BITS)
+    return bool(bits[place >> 5] >> (place & 31) & 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, mixing, perplexity, quality, toxicity, url_filter
+from . import bpe, exact_dedup, language_id, minhash, mixing, perplexity, quality, toxicity, url_filter
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("component")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_perplexity": op6_perplexity,
     "op7_quality": op7_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_minhash": op10_minhash,
 }
 
 WS = r"[\x20\x09-\x0D]+"
