@@ -62,7 +62,7 @@ def weighted_shingles(word_hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Sorted packed shingles: 48 bits of hash, 16 bits of weight in 1/1024.
 
     The weight is (1 + ln tf) times the mean idf of the shingle's words, which
-    lies between 1 and 2.  A text of fewer than five words is one shingle.
+    lies between 1 and 1.25.  A text of fewer than five words is one shingle.
     """
     n = len(word_hashes)
     if not n:
@@ -116,7 +116,12 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def word_idf(texts: DataFrame) -> np.ndarray:
-    """1 + ln((N + 1) / (df + 1)) / ln(N + 1) by word hash, from all documents; between 1 and 2."""
+    """1 + ln((N + 1) / (df + 1)) / ln(N + 1) / 4 by word hash, from all documents; between 1 and 1.25.
+
+    The range is narrow on purpose: in a large group of copies the shared
+    shingles are frequent and an edit's are not, and a steep idf would make the
+    few edited words outweigh all that the copies share.
+    """
 
     def state():
         hashes, df = _WordHashes(), np.zeros(IDF_SLOTS + 1, dtype=np.int64)
@@ -139,7 +144,7 @@ def word_idf(texts: DataFrame) -> np.ndarray:
     df = np.zeros(IDF_SLOTS + 1)
     df[got["at"].to_numpy()] = got["n"].to_numpy()
     n = df[-1]
-    return 1.0 + np.log((n + 1) / (np.minimum(df[:-1], n) + 1)) / np.log(n + 2)
+    return 1.0 + 0.25 * np.log((n + 1) / (np.minimum(df[:-1], n) + 1)) / np.log(n + 2)
 
 
 def _node(words: list[str]) -> bytes:

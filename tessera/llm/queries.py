@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, minhash, mixing, perplexity, quality, toxicity, url_filter
+from . import bpe, exact_dedup, language_id, minhash, mixing, perplexity, quality, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("component")
 
@@ -46,6 +50,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -54,8 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_perplexity": op6_perplexity,
     "op7_quality": op7_quality,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_minhash": op10_minhash,
+    "pipeline": pipeline,
 }
 
 WS = r"[\x20\x09-\x0D]+"
@@ -95,24 +107,4 @@ ORACLES: dict[str, str] = {
         FROM n JOIN fit f ON f.host = n.host AND f.path = n.path AND f.node IS NOT DISTINCT FROM n.node
         LEFT JOIN bad ON bad.node = n.node
     """,
-    "op5_mixing": rf"""
-        WITH RECURSIVE d AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
-        w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS weight FROM s),
-        -- rounds of resharing: how many sources are capped, and the level of the others
-        level(n, lv) AS (
-            SELECT 0::BIGINT, (SELECT sum(source_size) FROM w)::DOUBLE / (SELECT sum(weight) FROM w)::DOUBLE
-            UNION ALL
-            SELECT x.n, x.lv FROM level l, LATERAL (
-                SELECT count(*) FILTER (source_size * 3 <= weight * l.lv) AS n,
-                       (sum(source_size) - coalesce(sum(source_size * 3) FILTER (source_size * 3 <= weight * l.lv), 0))::DOUBLE
-                       / sum(weight) FILTER (NOT (source_size * 3 <= weight * l.lv))::DOUBLE AS lv FROM w) x
-            WHERE x.n > l.n),
-        last_level AS (SELECT lv FROM level ORDER BY n DESC LIMIT 1),
-        t AS (SELECT source, source_size, least((source_size * 3)::DOUBLE, (SELECT lv FROM last_level) * weight) AS target FROM w)
-        SELECT doc_id, size, source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-    """,
 }
-# The places of documents depend on a hash that DuckDB lacks, so the mix itself is tested against brute force.
-del ORACLES["op5_mixing"]
