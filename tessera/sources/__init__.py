@@ -1 +1 @@
-
+"""Readers, writers and versioned tables."""
