@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def register(name: str, sql: str | None = None):
     """Register a query under ``name``, with SQL that gives the same rows where there is some."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
@@ -26,16 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@register(
-    "tpch_q1",
-    """
-    SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
-           sum(l_extendedprice * (1 - l_discount)) AS sum_disc_price,
-           sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge,
-           avg(l_quantity) AS avg_qty, avg(l_extendedprice) AS avg_price, avg(l_discount) AS avg_disc, count(*) AS count_order
-    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus
-    """,
-)
-def tpch_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(ORACLES["tpch_q1"].replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
+def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for n in names or TABLES:
+        table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def shared_sql(name: str, sql: str, tables: str, duck: str | None = None) -> None:
+    """A query whose text both engines run; ``duck`` where the other engine spells it differently."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tessera.session import Engine
+
+        views(spark, sf_dir, *tables.split())
+        return Engine(spark).sql(sql)
+
+    register(name, duck or sql)(run)
+
+
+# the modules register their queries
+from . import queries_events, queries_functions, queries_incremental, queries_lake, queries_relational, queries_sql  # noqa: E402, F401
