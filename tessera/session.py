@@ -369,6 +369,7 @@ class Engine:
     def _drop(self, m, sql):
         if m["n"] in self.lake:
             del self.lake[m["n"]]
+            self.spark.catalog.dropTempView(m["n"])  # the view of its last reading
             return self._message("status", "dropped")
         if m["k"].lower() == "table" and self.spark.catalog.dropTempView(m["n"]):
             return self._message("status", "dropped")
