@@ -20,17 +20,19 @@ def timed(spark: S, d: str) -> DF:
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", events.epoch_ms(F.col("ts")).alias("ms"))
 
 
-_AGGS = (F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+def _aggs() -> tuple:
+    return F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")
 
 
 @register("window_tumbling", f"SELECT user_id, ms - ms % {HOUR} AS window_start_ms, ms - ms % {HOUR} + {HOUR} AS window_end_ms, count(*) AS n, round(sum(value), 2) AS total FROM {_E} GROUP BY 1, 2, 3")
 def window_tumbling(spark: S, d: str) -> DF:
-    return events.tumbling(timed(spark, d), "ms", HOUR, ["user_id"], *_AGGS)
+    return events.tumbling(timed(spark, d), "ms", HOUR, ["user_id"], *_aggs())
 
 
 @register("window_sliding", f"SELECT event_type, ms - ms % 1800000 - i * 1800000 AS window_start_ms, ms - ms % 1800000 - i * 1800000 + {HOUR} AS window_end_ms, count(*) AS n, round(sum(value), 2) AS total FROM {_E}, range(2) t(i) GROUP BY 1, 2, 3")
 def window_sliding(spark: S, d: str) -> DF:
-    return events.sliding(timed(spark, d), "ms", HOUR, 1_800_000, ["event_type"], *_AGGS)
+    return events.sliding(timed(spark, d), "ms", HOUR, 1_800_000, ["event_type"], *_aggs())
 
 
 @register(
@@ -42,12 +44,12 @@ def window_sliding(spark: S, d: str) -> DF:
     """,
 )
 def window_session(spark: S, d: str) -> DF:
-    return events.sessions(timed(spark, d), "ms", 1_800_000, ["user_id"], *_AGGS)
+    return events.sessions(timed(spark, d), "ms", 1_800_000, ["user_id"], *_aggs())
 
 
 @register("window_count", f"SELECT user_id, i // 5 AS window_index, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS i FROM {_E}) GROUP BY 1, 2")
 def window_count(spark: S, d: str) -> DF:
-    out = events.count_windows(timed(spark, d), ["ms", "event_id"], 5, ["user_id"], *_AGGS)
+    out = events.count_windows(timed(spark, d), ["ms", "event_id"], 5, ["user_id"], *_aggs())
     return out.withColumn("window_index", F.col("window_index").cast("long"))
 
 
@@ -151,12 +153,12 @@ def _finish(df: DF, mode: str) -> DF:
 
 @register("stream_tumble_complete", f"SELECT user_id, ms - ms % {24 * HOUR} AS window_start_ms, ms - ms % {24 * HOUR} + {24 * HOUR} AS window_end_ms, count(*) AS n, round(sum(value), 2) AS total FROM {_E} GROUP BY 1, 2, 3")
 def stream_tumble(spark: S, d: str) -> DF:
-    return _finish(_stream(spark, d).tumbling_window(24 * HOUR).aggregate(*_AGGS), "complete")
+    return _finish(_stream(spark, d).tumbling_window(24 * HOUR).aggregate(*_aggs()), "complete")
 
 
 @register("stream_sliding_complete", f"SELECT user_id, ms - ms % {12 * HOUR} - i * {12 * HOUR} AS window_start_ms, ms - ms % {12 * HOUR} - i * {12 * HOUR} + {24 * HOUR} AS window_end_ms, count(*) AS n, round(sum(value), 2) AS total FROM {_E}, range(2) t(i) GROUP BY 1, 2, 3")
 def stream_sliding(spark: S, d: str) -> DF:
-    return _finish(_stream(spark, d).sliding_window(24 * HOUR, 12 * HOUR).aggregate(*_AGGS), "complete")
+    return _finish(_stream(spark, d).sliding_window(24 * HOUR, 12 * HOUR).aggregate(*_aggs()), "complete")
 
 
 @register("stream_filter_append", f"SELECT event_id, value FROM {_E} WHERE event_type = 'purchase' AND value > 10")

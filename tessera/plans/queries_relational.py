@@ -227,29 +227,31 @@ def heavy_hitters(spark: S, d: str) -> DF:
 
 # analytic windows
 
-_W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+def _w():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 @register("window_ranking", "SELECT o_orderkey, (row_number() OVER w)::INT AS rn, (rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority))::INT AS r, (dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority))::INT AS dr, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd, (ntile(4) OVER w)::INT AS nt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def window_ranking(spark: S, d: str) -> DF:
     p = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
-    return table(spark, d, "orders").select("o_orderkey", TF.row_number().over(_W).alias("rn"), TF.rank().over(p).alias("r"), TF.dense_rank().over(p).alias("dr"), F.round(TF.percent_rank().over(_W), 8).alias("pr"), F.round(TF.cume_dist().over(_W), 8).alias("cd"), TF.ntile(4).over(_W).alias("nt"))
+    return table(spark, d, "orders").select("o_orderkey", TF.row_number().over(_w()).alias("rn"), TF.rank().over(p).alias("r"), TF.dense_rank().over(p).alias("dr"), F.round(TF.percent_rank().over(_w()), 8).alias("pr"), F.round(TF.cume_dist().over(_w()), 8).alias("cd"), TF.ntile(4).over(_w()).alias("nt"))
 
 
 @register("window_lag_lead", "SELECT o_orderkey, lag(o_totalprice, 1) OVER w AS before, lead(o_totalprice, 2, 0.0) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def window_lag_lead(spark: S, d: str) -> DF:
-    return table(spark, d, "orders").select("o_orderkey", TF.lag("o_totalprice").over(_W).alias("before"), TF.lead("o_totalprice", 2, 0.0).over(_W).alias("after"))
+    return table(spark, d, "orders").select("o_orderkey", TF.lag("o_totalprice").over(_w()).alias("before"), TF.lead("o_totalprice", 2, 0.0).over(_w()).alias("after"))
 
 
 @register("window_first_last_nth", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def window_first_last(spark: S, d: str) -> DF:
     k = "o_orderkey"
-    return table(spark, d, "orders").select(k, TF.first_value(k).over(_W).alias("f"), TF.last_value(k).over(_W).alias("l"), TF.nth_value(k, 2).over(_W).alias("s"))
+    return table(spark, d, "orders").select(k, TF.first_value(k).over(_w()).alias("f"), TF.last_value(k).over(_w()).alias("l"), TF.nth_value(k, 2).over(_w()).alias("s"))
 
 
 @register("window_frame_rows", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS s FROM orders")
 def window_frame_rows(spark: S, d: str) -> DF:
-    return table(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_W.rowsBetween(-2, 1)), 2).alias("s"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_w().rowsBetween(-2, 1)), 2).alias("s"))
 
 
 @register("window_frame_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW) AS n FROM orders")
@@ -260,7 +262,7 @@ def window_frame_range(spark: S, d: str) -> DF:
 
 @register("window_running_total", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running FROM orders")
 def window_running(spark: S, d: str) -> DF:
-    return table(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_W), 2).alias("running"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_w()), 2).alias("running"))
 
 
 # order and sets
