@@ -37,3 +37,15 @@ def connected_components(edges: DataFrame, labels: DataFrame | None = None) -> D
         if new.where("component <> was").isEmpty():
             return new.select("node", "component")
         now = new.select("node", "component")
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components once ``edges`` are added: only the graph of old components is searched."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_was"))
+    between = edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    between = written(between.select("src", "dst", F.coalesce("src_was", "src").alias("a"), F.coalesce("dst_was", "dst").alias("b")), "cc-between")
+    joined = connected_components(between.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    nodes = between.select(F.col("src").alias("node"), F.col("a").alias("component")).unionByName(between.select(F.col("dst").alias("node"), F.col("b").alias("component")))
+    nodes = nodes.unionByName(labels).distinct()
+    new = joined.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return written(nodes.join(new, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "cc-labels")

@@ -6,11 +6,12 @@ samples propose pairs, samples that disagree too often discard most of the
 wrong ones, and exact weighted Jaccard similarity decides.  Links form classes
 by connected components.
 
-Equal texts are one node from the start.  In a bucket of a band only a few
-nodes at a time are compared with the others, and only with those of other
-classes, so large groups of copies cost in proportion to their size; rounds go
-on until no bucket of the narrow bands holds nodes of two classes that have not
-been compared.
+Equal texts are one node from the start.  In a bucket of a wide band every node
+is compared with one other.  In buckets of the narrow bands, the nodes outside
+the largest class look for links to other classes: their samples meet all samples
+of the bucket, in blocks, and the best pairs are verified.  So large groups of
+copies, most of which the first step joins, cost in proportion to their size.
+Rounds go on until every stranger has looked and no link is found.
 """
 
 from __future__ import annotations
@@ -18,62 +19,94 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_map, bitmap, in_bitmap, join_groups, small_batches, written
-from .components import connected_components
+from .common import arrow_map, bitmap, in_bitmap, join_groups, small_batches, written
+from .components import connected_components, merged
 
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES = 64
 #: Wide bands of consecutive samples; narrow bands of random subsets of samples.
-WIDE, NARROW, NARROW_ROWS = 16, 32, 8
+WIDE, NARROW, NARROW_ROWS = 16, 64, 10
 #: Pairs whose samples agree less often are discarded: at 0.8 that loses one link in 200 and one in 10^6 at 0.9.
 LEAST_AGREEMENT = 43
-#: Nodes of a bucket that a round compares with the rest of it.
-CENTRES = 8
+#: In a narrow bucket at most so many nodes at a time meet blocks of so many others; of each, the pairs
+#: that agree best are verified in a round.
+STRANGERS, BLOCK, BEST = 256, 1024, 8
 #: Word document frequencies are kept by hash in a table of this size.
 IDF_SLOTS = 1 << 16
-_POOL = 1 << 14
+_POOL_BITS = 12
 
 
-class _WordHashes(dict):
-    def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return h
+class _Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as far as texts have needed them."""
+
+    base = 0xD6E8FEB86659FD93
+    up = np.ones(1, dtype=np.uint64)
+    down = np.ones(1, dtype=np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 1 << 16)
+            inverse = pow(cls.base, -1, 1 << 64)
+            cls.up = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, cls.base, dtype=np.uint64))))
+            cls.down = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, inverse, dtype=np.uint64))))
+        return cls.up, cls.down
+
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each blank-separated word, from running sums over the bytes."""
+    if not raw:
+        return np.zeros(0, dtype=np.uint64)
+    a = np.frombuffer(raw, dtype=np.uint8)
+    solid = np.empty(len(a) + 2, dtype=np.int8)
+    solid[0] = solid[-1] = 0
+    np.logical_not(_BLANK[a], out=solid[1:-1], casting="unsafe")
+    edge = np.diff(solid)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _Powers.upto(len(a) + 1)
+    sums = np.empty(len(a) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
 
 def _pools() -> tuple[np.ndarray, ...]:
     rng = np.random.default_rng(20240229)
-    r = rng.gamma(2.0, 1.0, _POOL).astype(np.float32)
-    r = np.maximum(r, 1e-3)
-    return r, (1.0 / r).astype(np.float32), np.log(rng.gamma(2.0, 1.0, _POOL)).astype(np.float32), rng.random(_POOL, dtype=np.float32)
+    n = 1 << _POOL_BITS
+    r = np.maximum(rng.gamma(2.0, 1.0, n), 1e-3).astype(np.float32)
+    return r, (1.0 / r).astype(np.float32), rng.random(n, dtype=np.float32), np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
 
 
-_R, _INVERSE_R, _LOG_C, _BETA = _pools()
-_SEEDS = np.random.default_rng(7).integers(1, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64)[:, None]
+_R, _INVERSE_R, _BETA, _LOG_C = _pools()
+_SEEDS = np.random.default_rng(7).integers(1, 2**32, SAMPLES, dtype=np.int64).astype(np.uint32)[:, None]
 _SUBSETS = [tuple(int(i) for i in np.random.default_rng(100 + j).choice(SAMPLES, NARROW_ROWS, replace=False)) for j in range(NARROW)]
 
 
-def weighted_shingles(word_hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Sorted packed shingles: 48 bits of hash, 16 bits of weight in 1/1024.
+def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Sorted packed shingles of word hashes: 48 bits of hash, 16 bits of weight in 1/1024.
 
     The weight is (1 + ln tf) times the mean idf of the shingle's words, which
-    lies between 1 and 1.25.  A text of fewer than five words is one shingle.
+    lies between 1 and 1.1.  A text of fewer than five words is one shingle.
     """
-    n = len(word_hashes)
+    n = len(words)
     if not n:
         return np.zeros(0, dtype=np.uint64)
     width = min(SHINGLE, n)
     m = n - width + 1
     h = np.zeros(m, dtype=np.uint64)
-    w = idf[(word_hashes & np.uint64(IDF_SLOTS - 1)).astype(np.int64)]
+    w = idf[(words & np.uint64(IDF_SLOTS - 1)).astype(np.int64)]
     weight = np.zeros(m, dtype=np.float64)
     for i in range(width):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i : m + i]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[i : m + i]
         weight += w[i : m + i]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h, first, tf = np.unique(h >> np.uint64(16), return_index=True, return_counts=True)
@@ -82,27 +115,41 @@ def weighted_shingles(word_hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def signature(packed: np.ndarray) -> np.ndarray:
-    """SAMPLES consistent weighted samples, each folded to 32 bits."""
+    """SAMPLES consistent weighted samples, each folded to 32 bits.
+
+    For each sample and shingle, r and beta come from one pool and c from
+    another, indexed by a hash of both; the same shingle gets the same numbers in
+    every text.
+    """
     best = np.full(SAMPLES, np.inf, dtype=np.float32)
     out = np.zeros(SAMPLES, dtype=np.uint64)
     rows = np.arange(SAMPLES)
-    mask = np.uint64(_POOL - 1)
-    for i in range(0, len(packed), 1024):
-        p = packed[i : i + 1024]
+    shift, mask = np.uint32(32 - _POOL_BITS), np.uint32((1 << _POOL_BITS) - 1)
+    for i in range(0, len(packed), 512):
+        p = packed[i : i + 512]
         log_w = np.log((p & np.uint64(65535)).astype(np.float32) / np.float32(1024))
-        h = p >> np.uint64(16)
-        x = (h[None, :] + _SEEDS) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-        a, b, c = (x & mask).astype(np.int32), ((x >> np.uint64(14)) & mask).astype(np.int32), ((x >> np.uint64(28)) & mask).astype(np.int32)
-        r, beta = _R[a], _BETA[c]
-        t = np.floor(log_w[None, :] * _INVERSE_R[a] + beta)
-        log_a = _LOG_C[b] - r * (t - beta) - r
-        at = log_a.argmin(axis=1)
-        low = log_a[rows, at]
-        new = low < best
-        value = h[at] * np.uint64(0x9E3779B97F4A7C15) + t[rows, at].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        out = np.where(new, value >> np.uint64(32), out)
-        best = np.where(new, low, best)
+        h = (p >> np.uint64(32)).astype(np.uint32) ^ (p >> np.uint64(16)).astype(np.uint32)
+        x = h[None, :] ^ _SEEDS
+        x *= np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0xC2B2AE35)
+        x ^= x >> np.uint32(13)
+        a = (x & mask).astype(np.intp)
+        r, beta = _R.take(a), _BETA.take(a)
+        t = _INVERSE_R.take(a)
+        t *= log_w
+        t += beta
+        np.floor(t, out=t)
+        beta -= t  # beta - t
+        beta -= np.float32(1)
+        beta *= r  # -r (t - beta + 1)
+        x >>= shift
+        beta += _LOG_C.take(x.astype(np.intp))
+        at = beta.argmin(axis=1)
+        low = beta[rows, at]
+        value = (p[at] >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15) + t[rows, at].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out = np.where(low < best, value >> np.uint64(32), out)
+        best = np.minimum(best, low)
     return out.astype(np.uint32)
 
 
@@ -116,7 +163,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def word_idf(texts: DataFrame) -> np.ndarray:
-    """1 + ln((N + 1) / (df + 1)) / ln(N + 1) / 4 by word hash, from all documents; between 1 and 1.25.
+    """1 + ln((N + 1) / (df + 1)) / ln(N + 1) / 10 by word hash, from all documents; between 1 and 1.1.
 
     The range is narrow on purpose: in a large group of copies the shared
     shingles are frequent and an edit's are not, and a steep idf would make the
@@ -124,13 +171,14 @@ def word_idf(texts: DataFrame) -> np.ndarray:
     """
 
     def state():
-        hashes, df = _WordHashes(), np.zeros(IDF_SLOTS + 1, dtype=np.int64)
+        df, mark = np.zeros(IDF_SLOTS + 1, dtype=np.int64), np.zeros(IDF_SLOTS, dtype=bool)
 
         def each(b):
             for t in b["text"]:
-                words = set(WORD.findall(t or ""))
-                slots = np.fromiter((hashes[w] & (IDF_SLOTS - 1) for w in words), dtype=np.int64, count=len(words))
-                df[np.unique(slots)] += 1
+                mark[(word_hashes(_raw(t)) & np.uint64(IDF_SLOTS - 1)).astype(np.int64)] = True
+                at = np.flatnonzero(mark)
+                mark[at] = False
+                df[at] += 1
                 df[-1] += 1
 
         def finish():
@@ -144,11 +192,16 @@ def word_idf(texts: DataFrame) -> np.ndarray:
     df = np.zeros(IDF_SLOTS + 1)
     df[got["at"].to_numpy()] = got["n"].to_numpy()
     n = df[-1]
-    return 1.0 + 0.25 * np.log((n + 1) / (np.minimum(df[:-1], n) + 1)) / np.log(n + 2)
+    return 1.0 + 0.1 * np.log((n + 1) / (np.minimum(df[:-1], n) + 1)) / np.log(n + 2)
+
 
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
-def _node(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+def _node(raw: bytes) -> bytes:
+    """What texts with the same words share."""
+    return hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest()
 
 
 def _bands(sigs: np.ndarray, columns: list[tuple[int, ...]], base: int) -> np.ndarray:
@@ -189,6 +242,43 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), keep, "a binary, b binary")
 
 
+def _strangers(active: DataFrame, nodes: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) of nodes of mixed buckets: each stranger with the nodes of other classes that agree best.
+
+    Strangers are the nodes outside a bucket's largest class.  Those whose turn
+    it is are sent to every block of their bucket's nodes, where all samples are
+    compared at once; a task holds one block and the strangers of one turn,
+    whatever the size of the bucket.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = active.join(nodes.select("node", "sig"), "node")
+    there = rows.select("bucket", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "class", "sig", F.lit(False).alias("asks"))
+    turn = (F.col("class") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("turns")) == F.pmod(F.lit(round_).cast("long"), F.col("turns")))
+    asking = rows.where(turn).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "node", "class", "sig", F.lit(True).alias("asks"))
+
+    def compare(t):
+        import pyarrow as pa
+
+        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(-1, SAMPLES)
+        asks = t["asks"].to_numpy(zero_copy_only=False)
+        names, kinds = t["node"].to_pylist(), t["class"].to_pylist()
+        number = {c: i for i, c in enumerate(dict.fromkeys(kinds))}
+        kind = np.array([number[c] for c in kinds])
+        here, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+        a, b = [], []
+        for q in queries:
+            agree = (sigs[here] == sigs[q]).sum(axis=1)
+            agree[kind[here] == kind[q]] = 0
+            good = np.flatnonzero(agree >= LEAST_AGREEMENT)
+            for i in good[np.argsort(-agree[good], kind="stable")[:BEST]]:
+                x, y = sorted((names[q], names[here[i]]))
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return there.unionByName(asking).groupBy("bucket", "block").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """(src, dst, similarity) of the pairs that are similar enough."""
     va = vectors.select(F.col("node").alias("a"), F.col("vec").alias("va"))
@@ -217,21 +307,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(word_idf(texts))
 
-    def sign_state():
-        hashes, table = _WordHashes(), idf.value
-
-        def each(b):
-            nodes, sigs = [], []
-            for t in b["text"]:
-                words = WORD.findall(t or "")
-                nodes.append(_node(words))
-                h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-                sigs.append(signature(weighted_shingles(h, table)).tobytes() if words else None)
-            return {"doc_id": b["doc_id"], "node": nodes, "sig": sigs}
-
-        return each
+    def sign(b):
+        table, nodes, sigs = idf.value, [], []
+        for t in b["text"]:
+            raw = _raw(t)
+            words = word_hashes(raw)
+            nodes.append(_node(raw))
+            sigs.append(signature(weighted_shingles(words, table)).tobytes() if len(words) else None)
+        return {"doc_id": b["doc_id"], "node": nodes, "sig": sigs}
 
-    signed = written(arrow_map(texts, None, "doc_id long, node binary, sig binary", sign_state), "minhash-signed")
+    signed = written(arrow_map(texts, sign, "doc_id long, node binary, sig binary"), "minhash-signed")
     groups = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     groups = written(groups, "minhash-groups")
     nodes = groups.where("sig IS NOT NULL").select("node", "sig")
@@ -242,20 +327,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bits = spark.sparkContext.broadcast(bitmap(near, "node"))
 
     def vector_state():
-        hashes, table, have, sent = _WordHashes(), idf.value, bits.value, set()
+        table, have, sent = idf.value, bits.value, set()
 
         def each(b):
             out, vecs = [], []
             for t in b["text"]:
-                words = WORD.findall(t or "")
-                node = _node(words)
-                if words and in_bitmap(have, node) and node not in sent:
+                raw = _raw(t)
+                node = _node(raw)
+                if in_bitmap(have, node) and node not in sent:
                     if len(sent) > 200_000:
                         sent.clear()
                     sent.add(node)
-                    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
                     out.append(node)
-                    vecs.append(weighted_shingles(h, table).tobytes())
+                    vecs.append(weighted_shingles(word_hashes(raw), table).tobytes())
             return {"node": out, "vec": vecs}
 
         return each
@@ -264,36 +348,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vectors = written(vectors.groupBy("node").agg(F.first("vec").alias("vec")), "minhash-vectors")
 
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    edges = written(_verified(_agreeing(pairs, near), vectors, threshold).select("src", "dst"), "minhash-links")
-    labels = connected_components(edges)
+    labels = connected_components(written(_verified(_agreeing(pairs, near), vectors, threshold).select("src", "dst"), "minhash-links"))
 
     narrow, _ = _buckets(near, _SUBSETS, 1000, "minhash-narrow")
-    waiting, round_ = narrow.select("bucket", "node"), 0
+    narrow, round_, idle = narrow.select("bucket", "node"), 0, 0
     while True:
         # members by class; only buckets with more than one class go on
-        classed = waiting.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
-        classed = written(classed, "minhash-classed")
+        classed = written(narrow.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class")), "minhash-classed")
         classes = classed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
         mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1")
-        mixed = written(mixed.select("bucket", "n", F.col("main.class").alias("main")), "minhash-mixed")
-        if mixed.isEmpty():
+        turns = F.ceil((F.col("n") - F.col("main.n")) / STRANGERS)
+        mixed = written(mixed.select("bucket", "n", F.col("main.class").alias("main"), turns.alias("turns")), "minhash-mixed")
+        most = mixed.agg(F.max("turns")).first()[0]
+        if most is None:
             break
-        active = written(join_groups(classed, mixed, "bucket", "n", "inner").select("bucket", "node", "class", (F.col("class") == F.col("main")).alias("in_main"), "n"), "minhash-active")
-        # centres come from the small classes: a large class is compared with few strangers, not they with all of it.
-        # Strangers are dealt by a hash, so that finding the first of a large bucket needs no large window.
-        strangers = active.where("NOT in_main").withColumn("slot", F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(CENTRES)))
-        centres = strangers.groupBy("bucket", "slot").agg(F.min(F.struct("node", "class")).alias("c")).groupBy("bucket").agg(F.collect_list("c").alias("centres"))
-        centres = written(centres.join(mixed.select("bucket", "n"), "bucket"), "minhash-centres")
-        spread = join_groups(active.drop("n"), centres, "bucket", "n", "inner").withColumn("c", F.explode("centres"))
-        pairs = spread.where("class <> c.class").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-        found = written(_verified(_agreeing(pairs, near), vectors, threshold).select("src", "dst"), "minhash-links")
-        if not found.isEmpty():
-            edges = written(edges.unionByName(found), "minhash-links")
-            labels = connected_components(edges)
-        # a centre has met everyone in its bucket
-        used = centres.select("bucket", F.explode("centres").alias("c")).select("bucket", F.col("c.node").alias("node"))
-        waiting = active.select("bucket", "node").join(used, ["bucket", "node"], "left_anti")
+        pairs = _strangers(join_groups(classed, mixed, "bucket", "n", "inner"), near, round_)
+        found = written(_verified(pairs, vectors, threshold).select("src", "dst"), "minhash-links")
         round_ += 1
+        if found.isEmpty():
+            idle += 1
+            if idle >= most:  # every stranger has had its turn since the last link
+                break
+        else:
+            idle = 0
+            labels = merged(labels, found)
 
     classed = groups.join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("class"))
     heads = classed.groupBy("class").agg(F.min("first_id").alias("class_id"))
