@@ -16,12 +16,13 @@ about WIDTH / 8 times; this sends one row for every 170 bytes.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bitmap, in_bitmap, join_groups, small_batches, written
+from .common import FILTER_BITS, arrow_map, bitmap, in_bitmap, join_groups, scratch_path, small_batches, written
 
 WIDTH, GRAM = 400, 64
 #: Windows start at most this far before their anchor.
@@ -88,15 +89,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
+    # Anchor hashes alone are counted first, so that only runs whose anchor occurs twice are described and sent.
+    def hashes(b):
+        seen: dict[int, int] = {}
+        for t in b["text"]:
+            for k in runs(t.encode("utf-8", "surrogatepass"))[0].tolist():
+                seen[k] = seen.get(k, 0) + 1
+        return {"kh": list(seen), "n": list(seen.values())}
+
+    twice_ = arrow_map(texts, hashes, "kh long, n long").groupBy("kh").agg(F.sum("n").alias("n")).where("n > 1")
+    # big-endian bytes of the hash, as the bitmap reads them
+    known = spark.sparkContext.broadcast(bitmap(twice_.select(F.unhex(F.lpad(F.hex("kh"), 16, "0")).alias("key")), "key"))
+
     def anchors(b):
-        out = {k: [] for k in ("kh", "u", "dk", "at", "lo", "hi")}
+        out, bits_ = {k: [] for k in ("kh", "u", "dk", "at", "lo", "hi")}, known.value
         for t in b["text"]:
             raw = t.encode("utf-8", "surrogatepass")
             kh, at, lo, hi = runs(raw)
             if not len(kh):
                 continue
+            place = (kh.view(np.uint64) >> np.uint64(32)) % np.uint64(1 << FILTER_BITS)
+            pick = np.flatnonzero((bits_[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+            if not len(pick):
+                continue
             dk = _text_key(raw)
-            for k, a, x, z in zip(kh.tolist(), at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            for k, a, x, z in zip(kh[pick].tolist(), at[pick].tolist(), lo[pick].tolist(), hi[pick].tolist(), strict=True):
                 out["u"].append(hashlib.blake2b(raw[x : z + WIDTH], digest_size=16, salt=(a - x).to_bytes(8, "big")).digest())
                 out["at"].append(a)
                 out["lo"].append(x)
@@ -105,7 +122,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 out["dk"].append(dk)
         return out
 
-    rows = written(arrow_map(texts, anchors, "kh long, u binary, dk binary, at long, lo long, hi long"), "repeat-runs")
+    rows = written(arrow_map(texts, anchors, "kh long, u binary, dk binary, at int, lo int, hi int"), "repeat-runs")
     same = written(rows.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("kh").alias("kh"), F.min(F.struct("dk", "at", "lo", "hi")).alias("one")), "repeat-groups")
     equal = same.where("n > 1").select("u", "n")
     whole = join_groups(rows.select("u", "dk", "lo", "hi"), equal, "u", "n", "inner").select("dk", "lo", "hi").distinct()
@@ -141,45 +158,49 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = open_.groupBy("dk").agg(F.collect_list(F.struct("rid", "kh", "at", "lo", "hi", "settled")).alias("asked"))
 
     def strings(b):
-        out = {k: [] for k in ("rid", "kh", "low", "high", "settled", "bytes")}
+        out = {"dk": b["dk"], "items": []}
         for raw, asked in zip(b["raw"], b["asked"], strict=True):
-            for q in asked:
-                out["rid"].append(q["rid"])
-                out["kh"].append(q["kh"])
-                out["low"].append(q["at"] - q["hi"])
-                out["high"].append(q["at"] - q["lo"])
-                out["settled"].append(q["settled"])
-                out["bytes"].append(raw[q["lo"] : q["hi"] + WIDTH])
+            out["items"].append([
+                {"rid": q["rid"], "kh": q["kh"], "low": q["at"] - q["hi"], "high": q["at"] - q["lo"], "settled": q["settled"], "bytes": raw[q["lo"] : q["hi"] + WIDTH]} for q in asked
+            ])
         return out
 
-    held = written(arrow_map(picked.join(asked, "dk").select("raw", "asked"), strings, "rid long, kh long, low int, high int, settled boolean, bytes binary"), "repeat-strings")
+    # Bucketed by text: the rounds join what is still open to the strings where they lie and never move them again.
+    held = arrow_map(picked.join(asked.hint("merge"), "dk").select("dk", "raw", "asked"), strings, "dk binary, items array<struct<rid:long,kh:long,low:int,high:int,settled:boolean,bytes:binary>>")
+    name = f"tessera_repeats_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held.write.format("parquet").option("path", scratch_path(spark, "repeat-strings")).bucketBy(buckets, "dk").sortBy("dk").saveAsTable(name)
+    held = spark.table(name)
 
     found: list[DataFrame] = []
     alive, size = None, (REACH + 1 + FAN - 1) // FAN
     while True:
-        source = held if alive is None else held.join(alive, "rid")
+        source = held if alive is None else held.join(alive.hint("merge"), "dk")
 
         def ask(b, size=size, first=alive is None):
-            out = {k: [] for k in ("rid", "range", "all", "common", "settled")}
-            for i in range(len(b["rid"])):
-                low, high, raw = b["low"][i], b["high"][i], b["bytes"][i]
-                salt = b["kh"][i].to_bytes(8, "big", signed=True)
-                spans = _ranges(low, high, size)
-                if not first:
-                    parents = set(b["parents"][i])
-                    spans = [s for s in spans if s[0] // FAN in parents]
-                for k, x, z in spans:
-                    # offset l is the window that starts l bytes before the anchor, which stands at ``high``
-                    person = k.to_bytes(4, "big") + size.to_bytes(4, "big")
-                    inside = low <= x and z <= high
-                    out["all"].append(hashlib.blake2b(raw[high - z : high - x + WIDTH], digest_size=16, salt=salt, person=person).digest() if inside else None)
-                    out["common"].append(int.from_bytes(hashlib.blake2b(raw[high - x : high - z + WIDTH], digest_size=8, salt=salt, person=person).digest(), "big", signed=True) if size > 1 else 0)
-                    out["rid"].append(b["rid"][i])
-                    out["range"].append(k)
-                    out["settled"].append(b["settled"][i])
+            out = {k: [] for k in ("dk", "rid", "range", "all", "common", "settled")}
+            for i, dk in enumerate(b["dk"]):
+                parents = None if first else {x["rid"]: set(x["ranges"]) for x in b["open"][i]}
+                for q in b["items"][i]:
+                    if parents is not None and q["rid"] not in parents:
+                        continue
+                    low, high, raw = q["low"], q["high"], q["bytes"]
+                    salt = q["kh"].to_bytes(8, "big", signed=True)
+                    for k, x, z in _ranges(low, high, size):
+                        if parents is not None and k // FAN not in parents[q["rid"]]:
+                            continue
+                        # offset l is the window that starts l bytes before the anchor, which stands at ``high``
+                        person = k.to_bytes(4, "big") + size.to_bytes(4, "big")
+                        inside = low <= x and z <= high
+                        out["all"].append(hashlib.blake2b(raw[high - z : high - x + WIDTH], digest_size=16, salt=salt, person=person).digest() if inside else None)
+                        out["common"].append(int.from_bytes(hashlib.blake2b(raw[high - x : high - z + WIDTH], digest_size=8, salt=salt, person=person).digest(), "big", signed=True) if size > 1 else 0)
+                        out["dk"].append(dk)
+                        out["rid"].append(q["rid"])
+                        out["range"].append(k)
+                        out["settled"].append(q["settled"])
             return out
 
-        asked_ = written(arrow_map(source, ask, "rid long, range int, all binary, common long, settled boolean"), "repeat-asked")
+        asked_ = written(arrow_map(source, ask, "dk binary, rid long, range int, all binary, common long, settled boolean"), "repeat-asked")
         # a string that two different runs hold; runs of equal kind are here once
         twice = written(asked_.where("all IS NOT NULL").groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.max((~F.col("settled")).cast("int")).alias("wanted")).where("n > 1 AND wanted = 1").select("all", "n"), "repeat-twice")
         hits = written(join_groups(asked_.where("all IS NOT NULL AND NOT settled").select("all", "rid", "range"), twice, "all", "n", "inner").select("rid", "range"), "repeat-hits")
@@ -188,11 +209,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             break
         # ranges go on if a run that is still open shares their common bytes with another run
         left = asked_.join(hits.withColumn("hit", F.lit(True)), ["rid", "range"], "left").withColumn("needs", ~F.col("settled") & F.col("hit").isNull())
-        left = written(left.select("rid", "range", "common", "needs"), "repeat-left")
+        left = written(left.select("dk", "rid", "range", "common", "needs"), "repeat-left")
         shared = written(left.groupBy("common").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("needs").cast("int")).alias("wanted")).where("n > 1 AND wanted = 1").select("common", "n"), "repeat-shared")
-        alive = written(join_groups(left.select("common", "rid", "range"), shared, "common", "n", "inner").groupBy("rid").agg(F.collect_set("range").alias("parents")), "repeat-alive")
+        alive = join_groups(left.select("common", "dk", "rid", "range"), shared, "common", "n", "inner").groupBy("dk", "rid").agg(F.collect_set("range").alias("ranges"))
+        alive = written(alive.groupBy("dk").agg(F.collect_list(F.struct("rid", "ranges")).alias("open")), "repeat-alive")
         size = size // FAN if size > FAN else 1
 
+    spark.sql(f"DROP TABLE {name}")  # the name; its files stay in the scratch folder
     spans = found[0]
     for f in found[1:]:
         spans = spans.unionByName(f)
