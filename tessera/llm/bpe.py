@@ -13,6 +13,7 @@ send the others' chunks away; encode the shared chunks once and assemble.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -26,7 +27,7 @@ WINDOW, CUT_BITS = 32, 11
 LEAST_CHUNK, MOST_CHUNK = 256, 8192
 #: Where a text may be cut without a token changing: the tokenizer drops these and no token spans them.
 SYNC = " \n"
-WORDS_CACHED = 400_000
+WORDS_CACHED = 300_000
 
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -41,6 +42,8 @@ class Encoder:
     """One vocabulary in one process; words met before are remembered up to a bound."""
 
     def __init__(self, path: str):
+        # one thread a worker: Spark runs as many workers as there are cores, and threads hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -68,12 +71,25 @@ class Encoder:
         if len(known) > WORDS_CACHED:
             known.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update(zip(part, self.plain(part), strict=True))
+        self._learn({w for ws in split for w in ws if w not in known})
         return [b"".join([known[w] for w in ws]) for ws in split]
 
+    def _learn(self, new: set[str]) -> None:
+        """Remember words, many to a call, with a bar between them; words that hold a bar go alone."""
+        alone = [w for w in new if "|" in w or not w]
+        self.words.update(zip(alone, self.plain(alone), strict=True))
+        rest = [w for w in new if w and "|" not in w]
+        bar, size = np.frombuffer(self.plain(["|"])[0], dtype=self.kind), self.kind().itemsize
+        for part in [rest[i : i + 256] for i in range(0, len(rest), 256)]:
+            ids = self.plain([" | ".join(part)])[0]
+            at = np.flatnonzero(self.array(ids) == bar[0]) if len(bar) == 1 else np.zeros(0, dtype=np.int64)
+            if len(at) != len(part) - 1:  # a vocabulary in which a bar isn't a token of its own
+                self.words.update(zip(part, self.plain(part), strict=True))
+                continue
+            starts, ends = [0, *((at + 1) * size).tolist()], [*(at * size).tolist(), len(ids)]
+            for w, a, z in zip(part, starts, ends, strict=True):
+                self.words[w] = ids[a:z]
+
     def array(self, ids: bytes) -> np.ndarray:
         return np.frombuffer(ids, dtype=self.kind)
 
