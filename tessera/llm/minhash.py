@@ -9,9 +9,9 @@ by connected components.
 Equal texts are one node from the start.  In a bucket of a wide band every node
 is compared with one other.  In buckets of the narrow bands, the nodes outside
 the largest class look for links to other classes: their samples meet all samples
-of the bucket, in blocks, and the best pairs are verified.  So large groups of
-copies, most of which the first step joins, cost in proportion to their size.
-Rounds go on until every stranger has looked and no link is found.
+of the bucket, in blocks, and the best pairs are verified, then the next best.
+So large groups of copies, most of which the first step joins, cost in proportion
+to their size.  Rounds go on until every agreeing pair is verified or in one class.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bitmap, in_bitmap, join_groups, small_batches, written
+from .common import arrow_map, bitmap, in_bitmap, join_groups, scratch_path, small_batches, written
 from .components import connected_components, merged
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -32,8 +32,9 @@ WIDE, NARROW, NARROW_ROWS = 16, 64, 10
 #: Pairs whose samples agree less often are discarded: at 0.8 that loses one link in 200 and one in 10^6 at 0.9.
 LEAST_AGREEMENT = 43
 #: In a narrow bucket at most so many nodes at a time meet blocks of so many others; of each, the pairs
-#: that agree best are verified in a round.
-STRANGERS, BLOCK, BEST = 256, 1024, 8
+#: that agree best are verified in a round and the next best in its next turn, up to PATIENT times as many
+#: while no link is found.
+STRANGERS, BLOCK, BEST, PATIENT = 256, 1024, 8, 8
 #: Word document frequencies are kept by hash in a table of this size.
 IDF_SLOTS = 1 << 16
 _POOL_BITS = 12
@@ -242,41 +243,53 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), keep, "a binary, b binary")
 
 
-def _strangers(active: DataFrame, nodes: DataFrame, round_: int) -> DataFrame:
-    """Pairs (a, b) of nodes of mixed buckets: each stranger with the nodes of other classes that agree best.
+_ASKED = "bucket long, block long, node binary, other binary, place int"
+
+
+def _strangers(active: DataFrame, nodes: DataFrame, asked: DataFrame, round_: int, most: int) -> DataFrame:
+    """Pairs of mixed buckets, as in _ASKED: each stranger with the ``most`` next nodes of other classes that agree best.
 
     Strangers are the nodes outside a bucket's largest class.  Those whose turn
     it is are sent to every block of their bucket's nodes, where all samples are
     compared at once; a task holds one block and the strangers of one turn,
-    whatever the size of the bucket.
+    whatever the size of the bucket.  The nodes of a block stand in one order
+    for a stranger, by agreement and name, whatever their classes; ``asked`` says
+    up to which place it went in earlier turns.  Who stands before that was
+    verified or in the stranger's class, which stays so.
     """
     blocks = F.ceil(F.col("n") / BLOCK)
     rows = active.join(nodes.select("node", "sig"), "node")
-    there = rows.select("bucket", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "class", "sig", F.lit(False).alias("asks"))
+    there = rows.select("bucket", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "class", "sig", F.lit(-1).alias("place"))
     turn = (F.col("class") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("turns")) == F.pmod(F.lit(round_).cast("long"), F.col("turns")))
-    asking = rows.where(turn).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "node", "class", "sig", F.lit(True).alias("asks"))
+    asking = rows.where(turn).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "node", "class", "sig")
+    asking = asking.join(asked, ["bucket", "block", "node"], "left").select("bucket", "block", "node", "class", "sig", F.coalesce("place", F.lit(0)).alias("place"))
 
     def compare(t):
         import pyarrow as pa
 
+        t = t.sort_by("node")
         sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(-1, SAMPLES)
-        asks = t["asks"].to_numpy(zero_copy_only=False)
+        place = t["place"].to_numpy()
         names, kinds = t["node"].to_pylist(), t["class"].to_pylist()
         number = {c: i for i, c in enumerate(dict.fromkeys(kinds))}
         kind = np.array([number[c] for c in kinds])
-        here, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-        a, b = [], []
+        here, queries = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        node, other, to = [], [], []
         for q in queries:
             agree = (sigs[here] == sigs[q]).sum(axis=1)
-            agree[kind[here] == kind[q]] = 0
             good = np.flatnonzero(agree >= LEAST_AGREEMENT)
-            for i in good[np.argsort(-agree[good], kind="stable")[:BEST]]:
-                x, y = sorted((names[q], names[here[i]]))
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            row = here[good[np.argsort(-agree[good], kind="stable")]]
+            at = np.flatnonzero(kind[row] != kind[q])
+            at = at[at >= place[q]][:most]
+            node += [names[q]] * len(at)
+            other += [names[i] for i in row[at]]
+            to += (at + 1).tolist()
+        return pa.table({
+            "bucket": pa.array([t["bucket"][0].as_py()] * len(to), pa.int64()), "block": pa.array([t["block"][0].as_py()] * len(to), pa.int64()),
+            "node": pa.array(node, pa.binary()), "other": pa.array(other, pa.binary()), "place": pa.array(to, pa.int32()),
+        })
 
-    return there.unionByName(asking).groupBy("bucket", "block").applyInArrow(compare, "a binary, b binary").distinct()
+    return there.unionByName(asking).groupBy("bucket", "block").applyInArrow(compare, _ASKED)
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -351,27 +364,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = connected_components(written(_verified(_agreeing(pairs, near), vectors, threshold).select("src", "dst"), "minhash-links"))
 
     narrow, _ = _buckets(near, _SUBSETS, 1000, "minhash-narrow")
-    narrow, round_, idle = narrow.select("bucket", "node"), 0, 0
+    narrow, round_, idle, quiet, changed = narrow.select("bucket", "node"), 0, 0, 0, True
+    asked, tried = spark.createDataFrame([], "bucket long, block long, node binary, place int"), None
+    tried_path = scratch_path(spark, "minhash-tried")
     while True:
-        # members by class; only buckets with more than one class go on
-        classed = written(narrow.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class")), "minhash-classed")
-        classes = classed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-        mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1")
-        turns = F.ceil((F.col("n") - F.col("main.n")) / STRANGERS)
-        mixed = written(mixed.select("bucket", "n", F.col("main.class").alias("main"), turns.alias("turns")), "minhash-mixed")
-        most = mixed.agg(F.max("turns")).first()[0]
-        if most is None:
-            break
-        pairs = _strangers(join_groups(classed, mixed, "bucket", "n", "inner"), near, round_)
-        found = written(_verified(pairs, vectors, threshold).select("src", "dst"), "minhash-links")
-        round_ += 1
-        if found.isEmpty():
+        if changed:
+            # members by class; only buckets with more than one class go on
+            classed = written(narrow.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class")), "minhash-classed")
+            classes = classed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+            mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1")
+            turns = F.ceil((F.col("n") - F.col("main.n")) / STRANGERS)
+            mixed = written(mixed.select("bucket", "n", F.col("main.class").alias("main"), turns.alias("turns")), "minhash-mixed")
+            most = mixed.agg(F.max("turns")).first()[0]
+            if most is None:
+                break
+        now = _strangers(join_groups(classed, mixed, "bucket", "n", "inner"), near, asked, round_, BEST * min(1 << quiet, PATIENT))
+        now, changed, round_ = written(now, "minhash-asking"), False, round_ + 1
+        if now.isEmpty():
             idle += 1
-            if idle >= most:  # every stranger has had its turn since the last link
+            if idle >= most:  # every stranger has had its turn and none has a pair left
                 break
+            continue
+        asked = written(asked.unionByName(now.select(*asked.columns)).groupBy("bucket", "block", "node").agg(F.max("place").alias("place")), "minhash-asked")
+        # a pair of several buckets is verified once
+        pairs = now.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+        pairs.write.mode("append").parquet(tried_path)
+        tried = spark.read.schema(pairs.schema).parquet(tried_path)
+        found = written(_verified(pairs, vectors, threshold).select("src", "dst"), "minhash-links")
+        idle = 0
+        if found.isEmpty():
+            quiet += 1
         else:
-            idle = 0
-            labels = merged(labels, found)
+            labels, quiet, changed = merged(labels, found), 0, True
 
     classed = groups.join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("class"))
     heads = classed.groupBy("class").agg(F.min("first_id").alias("class_id"))

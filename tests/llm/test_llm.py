@@ -393,6 +393,25 @@ def jaccard_classes(rows, threshold=0.8):
     return sorted(sorted(map(str, g)) for g in groups.values())
 
 
+def near_classes(df, threshold=0.8):
+    got = defaultdict(list)
+    for x in minhash.near_duplicates(df, threshold).collect():
+        got[x.class_id].append(x.doc_id)
+    return sorted(sorted(map(str, g)) for g in got.values())
+
+
+def versions(seed, n=40, near=2, far=4, size=300):
+    """One version of a text with ``near`` words edited, like all others, which have ``far`` edited and are like no other."""
+    r = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(size)], []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(5, size - 5, 6), far if i else near):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w), "en", "s"))
+    return rows
+
+
 def test_near_duplicates(spark, odd, empty):
     rows, r = [], random.Random(4)
     for g in range(6):
@@ -414,6 +433,13 @@ def test_near_duplicates(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(jaccard_classes([(x.doc_id, x.text) for x in odd.collect()]))
 
 
+def test_strangers_look_past_failed_pairs(spark, monkeypatch):
+    """The pair that agrees best is often no link, and the only link comes after it."""
+    rows = versions(5)
+    monkeypatch.setattr(minhash, "BEST", 1)
+    assert near_classes(frame(spark, rows)) == jaccard_classes([(i, t) for i, t, *_ in rows])
+
+
 def test_samples_estimate_weighted_jaccard():
     idf = np.full(minhash.IDF_SLOTS, 1.1)
     a, b = prose(1, 400).split(), prose(2, 120).split()
