@@ -19,8 +19,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, bitmap, in_bitmap, join_groups, scratch_path, small_batches, written
 from .components import connected_components, merged
@@ -265,8 +267,6 @@ def _strangers(active: DataFrame, nodes: DataFrame, asked: DataFrame, round_: in
     asking = asking.join(asked, ["bucket", "block", "node"], "left").select("bucket", "block", "node", "class", "sig", F.coalesce("place", F.lit(0)).alias("place"))
 
     def compare(t):
-        import pyarrow as pa
-
         t = t.sort_by("node")
         sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(-1, SAMPLES)
         place = t["place"].to_numpy()
@@ -315,6 +315,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Null ids count last; rows that repeat the smallest id are all marked; an empty
     table gives an empty result.
     """
+    out = _classes(docs, threshold)
+    return out.select("doc_id", "class_id", F.hex("node").alias("node"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, node, class, class_id) for every row; ``class`` tells classes apart that share a smallest id."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", "text")
@@ -400,18 +406,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     classed = groups.join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("class"))
     heads = classed.groupBy("class").agg(F.min("first_id").alias("class_id"))
-    classed = written(classed.join(heads, "class").select("node", "class_id", "copies"), "minhash-classes")
-    out = join_groups(signed.select("doc_id", "node"), classed, "node", "copies", "inner")
-    return out.select("doc_id", "class_id", F.hex("node").alias("node"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    classed = written(classed.join(heads, "class").select("node", "class", "class_id", "copies"), "minhash-classes")
+    return join_groups(signed.select("doc_id", "node"), classed, "node", "copies", "inner").select("doc_id", "node", "class", "class_id")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document with the smallest id of each class, all columns of ``docs`` kept; one row for each class.
 
-    The kept ids are joined to the texts by id, the one place where texts are
-    shuffled; rows that repeat a kept id leave one row.
+    The kept ids are joined to the texts by id and node, the one place where
+    texts are shuffled, as classes may share an id or have none; rows of a class
+    that repeat its kept id leave one row.
     """
-    keep = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
+    keep = _classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    keep = keep.select(F.col("doc_id").alias("__keep"), F.col("node").alias("__of"), F.col("class").alias("__class")).distinct()
+
+    def nodes(texts: pa.Array) -> pa.Array:
+        return pa.array([_node(_raw(t)) for t in texts.to_pylist()], pa.binary())
+
+    marked = docs.withColumn("__node", F.arrow_udf(nodes, T.BinaryType())("text"))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__node") == F.col("__of")))
+    once = Window.partitionBy("__class").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
     return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)

@@ -440,6 +440,13 @@ def test_strangers_look_past_failed_pairs(spark, monkeypatch):
     assert near_classes(frame(spark, rows)) == jaccard_classes([(i, t) for i, t, *_ in rows])
 
 
+def test_classes_that_share_an_id_keep_a_row_each(spark):
+    a, b, c, d = (prose(k, 60) for k in range(300, 304))
+    rows = [(None, a, "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (5, c, "en", "s"), (5, d, "en", "s"), (6, c, "en", "s")]
+    kept = minhash.representatives(frame(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.text) for x in kept) == sorted([("None", a), ("None", b), ("5", c), ("5", d)])
+
+
 def test_samples_estimate_weighted_jaccard():
     idf = np.full(minhash.IDF_SLOTS, 1.1)
     a, b = prose(1, 400).split(), prose(2, 120).split()
