@@ -257,6 +257,14 @@ def test_perplexity_rules(spark, odd, empty, docs):
     assert not kept[99] and all(kept[i] for i in range(60))
 
 
+def test_copies_do_not_set_the_band(spark):
+    """Copies that are most of a language neither switch its band off nor narrow it to themselves."""
+    rows = [(i, prose(500, 60), "en", "s") for i in range(90)] + [(100 + i, prose(600 + i, 60), "en", "s") for i in range(40)]
+    junk = [(200, " ".join(f"zq{k}xjw{k}vk" for k in range(60)), "en", "s")]
+    kept = {x.doc_id: x.kept for x in perplexity.perplexity_rules(frame(spark, rows + junk)).collect()}
+    assert not kept[200] and all(kept[i] for i, *_ in rows)
+
+
 def test_kneser_ney_sums_to_one(spark, docs):
     model = perplexity.fit_models(docs.where("lang = 'en'"))["en"]
     for ctx in ([0, 20], [20, 8], [8, 5]):
