@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import HOT_PARTS, discard, join_groups, written
 
 
 def connected_components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -23,20 +23,35 @@ def connected_components(edges: DataFrame, labels: DataFrame | None = None) -> D
     if labels is not None:
         now = now.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
     now = written(now, "cc-labels")
-    if now.isEmpty():
-        return now
-    while True:
-        seen = both.join(now, both.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
+    floor = max(both.count() // HOT_PARTS, now.count() // HOT_PARTS, 1000)
+    # the at most HOT_PARTS nodes of so many edges and, in each round, labels of so many nodes meet their rows by broadcast
+    hubs = written(both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).select("node"), "cc-hubs")
+    while not now.isEmpty():
+        few = F.broadcast(now.join(F.broadcast(hubs), "node", "left_semi"))
+        seen = _split(both, "src", F.broadcast(hubs.withColumnRenamed("node", "src")), now.withColumnRenamed("node", "src"), few.withColumnRenamed("node", "src"), "inner")
+        seen = seen.groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
         # a label's holder hears of what its own members have heard
         up = now.join(seen, "node").where("near < component").groupBy(F.col("component").alias("node")).agg(F.min("near").alias("near"))
         heard = seen.unionByName(up).groupBy("node").agg(F.min("near").alias("near"))
         spread = now.join(heard, "node", "left").select("node", F.least("component", "near").alias("step"), F.col("component").alias("was"))
-        roots = spread.select(F.col("node").alias("root"), F.col("step").alias("jump"))
-        new = spread.join(roots, F.col("step") == F.col("root"), "left").select("node", F.least("step", "jump").alias("component"), "was")
-        new = written(new, "cc-labels")
-        if new.where("component <> was").isEmpty():
-            return new.select("node", "component")
+        spread = written(spread, "cc-spread")
+        roots = spread.select(F.col("node").alias("step"), F.col("step").alias("jump"))
+        held = F.broadcast(spread.groupBy("step").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).select("step"))
+        new = _split(spread, "step", held, roots, F.broadcast(roots.join(held, "step", "left_semi")), "left")
+        new = written(new.select("node", F.least("step", "jump").alias("component"), "was"), "cc-labels")
+        done = new.where("component <> was").isEmpty()
+        discard(spread, now)
         now = new.select("node", "component")
+        now._tessera_scratch = new._tessera_scratch
+        if done:
+            break
+    discard(both, hubs)
+    return now
+
+
+def _split(rows: DataFrame, key: str, hot: DataFrame, values: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """Rows joined to ``values`` by ``key``: those of a ``hot`` key to the ``few`` values of hot keys, where they are."""
+    return rows.join(hot, key, "left_anti").join(values, key, how).unionByName(rows.join(hot, key, "left_semi").join(few, key, how))
 
 
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,5 +62,9 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     joined = connected_components(between.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     nodes = between.select(F.col("src").alias("node"), F.col("a").alias("component")).unionByName(between.select(F.col("dst").alias("node"), F.col("b").alias("component")))
     nodes = nodes.unionByName(labels).distinct()
-    new = joined.select(F.col("node").alias("component"), F.col("component").alias("into"))
-    return written(nodes.join(new, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "cc-labels")
+    nodes = written(nodes, "cc-nodes")
+    held = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    new = written(held.join(joined.select(F.col("node").alias("component"), F.col("component").alias("into")), "component"), "cc-into")
+    out = written(join_groups(nodes, new, "component", "members", "left").select("node", F.coalesce("into", "component").alias("component")), "cc-labels")
+    discard(between, nodes, new)
+    return out

@@ -7,36 +7,40 @@ wrong ones, and exact weighted Jaccard similarity decides.  Links form classes
 by connected components.
 
 Equal texts are one node from the start.  In a bucket of a wide band every node
-is compared with one other.  In buckets of the narrow bands, the nodes outside
-the largest class look for links to other classes: their samples meet all samples
-of the bucket, in blocks, and the best pairs are verified, then the next best.
-So large groups of copies, most of which the first step joins, cost in proportion
-to their size.  Rounds go on until every agreeing pair is verified or in one class.
+is compared with one other, which joins most of what is alike.  In buckets of the
+narrow bands, the nodes outside the largest class (strangers) meet all nodes of
+the bucket, in cells of bounded size: first the pairs that agree best are
+verified, then, with the classes that this gives, every agreeing pair of two
+classes, inside its cell, so that no pair is sent anywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, bitmap, in_bitmap, join_groups, scratch_path, small_batches, written
+from .common import arrow_map, bitmap, discard, in_bitmap, join_groups, small_batches, written
 from .components import connected_components, merged
 
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES = 64
 #: Wide bands of consecutive samples; narrow bands of random subsets of samples.
-WIDE, NARROW, NARROW_ROWS = 16, 64, 10
-#: Pairs whose samples agree less often are discarded: at 0.8 that loses one link in 200 and one in 10^6 at 0.9.
-LEAST_AGREEMENT = 43
-#: In a narrow bucket at most so many nodes at a time meet blocks of so many others; of each, the pairs
-#: that agree best are verified in a round and the next best in its next turn, up to PATIENT times as many
-#: while no link is found.
-STRANGERS, BLOCK, BEST, PATIENT = 256, 1024, 8, 8
+WIDE, NARROW, NARROW_ROWS = 16, 64, 8
+#: Pairs whose samples agree so rarely that this share of links does are not verified.
+LOST = 1e-4
+#: A cell holds about so many strangers and so many nodes of a bucket.
+STRANGERS, BLOCK = 128, 512
+#: Of each stranger and cell so many pairs, those that agree best, are verified before all the others.
+BEST = 2
+#: Texts of more shingles than this are verified pair by pair, so that a cell's memory stays bounded.
+LONG = 8192
 #: Word document frequencies are kept by hash in a table of this size.
 IDF_SLOTS = 1 << 16
 _POOL_BITS = 12
@@ -98,7 +102,7 @@ def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Sorted packed shingles of word hashes: 48 bits of hash, 16 bits of weight in 1/1024.
 
     The weight is (1 + ln tf) times the mean idf of the shingle's words, which
-    lies between 1 and 1.1.  A text of fewer than five words is one shingle.
+    lies between 1 and 2.  A text of fewer than five words is one shingle.
     """
     n = len(words)
     if not n:
@@ -158,19 +162,39 @@ def signature(packed: np.ndarray) -> np.ndarray:
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two packed shingle arrays; 0 if one is empty."""
-    mask = np.uint64(65535)
-    total = int((a & mask).sum()) + int((b & mask).sum())
-    common, i, j = np.intersect1d(a >> np.uint64(16), b >> np.uint64(16), assume_unique=True, return_indices=True)
-    least = int(np.minimum(a[i] & mask, b[j] & mask).sum()) if len(common) else 0
-    return least / (total - least) if total > least else 0.0
+    return _overlap(*_unpacked(a), *_unpacked(b))
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles, weights and their sum."""
+    weight = (packed & np.uint64(65535)).astype(np.int64)
+    return packed >> np.uint64(16), weight, int(weight.sum())
+
+
+def _overlap(a: np.ndarray, wa: np.ndarray, ta: int, b: np.ndarray, wb: np.ndarray, tb: int) -> float:
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    hit = b[at] == a
+    least = int(np.minimum(wa[hit], wb[at[hit]]).sum())
+    return least / (ta + tb - least)
+
+
+def least_agreement(threshold: float) -> int:
+    """The most samples that all but LOST of the pairs of similarity ``threshold`` agree in."""
+    below = 0.0
+    for n in range(SAMPLES + 1):
+        below += math.comb(SAMPLES, n) * threshold**n * (1 - threshold) ** (SAMPLES - n)
+        if below > LOST:
+            return n
+    return SAMPLES
 
 
 def word_idf(texts: DataFrame) -> np.ndarray:
-    """1 + ln((N + 1) / (df + 1)) / ln(N + 1) / 10 by word hash, from all documents; between 1 and 1.1.
+    """1 + ln((N + 1) / (df + 1)) / ln(N + 2) by word hash, from all documents: 2 for a word of one document, 1 for one of all.
 
-    The range is narrow on purpose: in a large group of copies the shared
-    shingles are frequent and an edit's are not, and a steep idf would make the
-    few edited words outweigh all that the copies share.
+    Divided by ln(N + 2), a word of a given share of rarity weighs the same in
+    corpora of every size, and an edited word cannot outweigh what copies share.
     """
 
     def state():
@@ -195,7 +219,7 @@ def word_idf(texts: DataFrame) -> np.ndarray:
     df = np.zeros(IDF_SLOTS + 1)
     df[got["at"].to_numpy()] = got["n"].to_numpy()
     n = df[-1]
-    return 1.0 + 0.1 * np.log((n + 1) / (np.minimum(df[:-1], n) + 1)) / np.log(n + 2)
+    return 1.0 + np.log((n + 1) / (np.minimum(df[:-1], n) + 1)) / np.log(n + 2)
 
 
 def _raw(text: str | None) -> bytes:
@@ -208,18 +232,19 @@ def _node(raw: bytes) -> bytes:
 
 
 def _bands(sigs: np.ndarray, columns: list[tuple[int, ...]], base: int) -> np.ndarray:
-    """64-bit bucket keys of each row of ``sigs`` in each band."""
+    """64-bit bucket keys of each row of ``sigs`` in each band; the low bits are the number of the band."""
     out = np.empty((len(sigs), len(columns)), dtype=np.int64)
     for k, cols in enumerate(columns):
         h = np.full(len(sigs), base + k, dtype=np.uint64)
         for c in cols:
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + sigs[:, c].astype(np.uint64)
-        out[:, k] = h.view(np.int64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        out[:, k] = ((h & ~np.uint64(NARROW - 1)) | np.uint64(k)).view(np.int64)
     return out
 
 
-def _buckets(nodes: DataFrame, columns: list[tuple[int, ...]], base: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(bucket, node) of buckets with two nodes or more, and (bucket, first, n)."""
+def _buckets(nodes: DataFrame, columns: list[tuple[int, ...]], base: int, name: str) -> DataFrame:
+    """(bucket, node, first) of buckets with two nodes or more."""
 
     def explode(b):
         sigs = np.frombuffer(b"".join(b["sig"]), dtype=np.uint32).reshape(-1, SAMPLES)
@@ -229,67 +254,192 @@ def _buckets(nodes: DataFrame, columns: list[tuple[int, ...]], base: int, name:
     rows = written(arrow_map(nodes.select("node", "sig"), explode, "bucket long, node binary"), f"{name}-rows")
     sizes = rows.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = written(sizes, f"{name}-sizes")
-    return written(join_groups(rows, sizes, "bucket", "n", "inner").select("bucket", "node", "first"), f"{name}-members"), sizes
+    out = written(join_groups(rows, sizes, "bucket", "n", "inner").select("bucket", "node", "first"), f"{name}-members")
+    discard(rows, sizes)
+    return out
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) whose samples agree often enough."""
     sa = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     sb = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
 
     def keep(t):
         x, y = (np.frombuffer(b"".join(t[c]), dtype=np.uint32).reshape(-1, SAMPLES) for c in ("sa", "sb"))
-        at = np.flatnonzero((x == y).sum(axis=1) >= LEAST_AGREEMENT)
+        at = np.flatnonzero((x == y).sum(axis=1) >= least)
         return {"a": [t["a"][i] for i in at], "b": [t["b"][i] for i in at]}
 
     return arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), keep, "a binary, b binary")
 
 
-_ASKED = "bucket long, block long, node binary, other binary, place int"
-
-
-def _strangers(active: DataFrame, nodes: DataFrame, asked: DataFrame, round_: int, most: int) -> DataFrame:
-    """Pairs of mixed buckets, as in _ASKED: each stranger with the ``most`` next nodes of other classes that agree best.
+def _cells(narrow: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, block, chunk, node, class, sig, size, here, asks, stranger): the cells of all buckets of two classes or more.
 
-    Strangers are the nodes outside a bucket's largest class.  Those whose turn
-    it is are sent to every block of their bucket's nodes, where all samples are
-    compared at once; a task holds one block and the strangers of one turn,
-    whatever the size of the bucket.  The nodes of a block stand in one order
-    for a stranger, by agreement and name, whatever their classes; ``asked`` says
-    up to which place it went in earlier turns.  Who stands before that was
-    verified or in the stranger's class, which stays so.
+    A bucket's nodes are dealt to blocks and its strangers, the nodes outside its
+    largest class, to chunks; a cell holds the nodes of a block (``here``) and
+    the strangers of a chunk (``asks``), so that every stranger meets every node
+    in one cell, and a task's rows are bounded whatever the size of the bucket.
     """
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = active.join(nodes.select("node", "sig"), "node")
-    there = rows.select("bucket", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "class", "sig", F.lit(-1).alias("place"))
-    turn = (F.col("class") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("turns")) == F.pmod(F.lit(round_).cast("long"), F.col("turns")))
-    asking = rows.where(turn).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "node", "class", "sig")
-    asking = asking.join(asked, ["bucket", "block", "node"], "left").select("bucket", "block", "node", "class", "sig", F.coalesce("place", F.lit(0)).alias("place"))
-
-    def compare(t):
-        t = t.sort_by("node")
-        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(-1, SAMPLES)
-        place = t["place"].to_numpy()
-        names, kinds = t["node"].to_pylist(), t["class"].to_pylist()
-        number = {c: i for i, c in enumerate(dict.fromkeys(kinds))}
-        kind = np.array([number[c] for c in kinds])
-        here, queries = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
-        node, other, to = [], [], []
-        for q in queries:
-            agree = (sigs[here] == sigs[q]).sum(axis=1)
-            good = np.flatnonzero(agree >= LEAST_AGREEMENT)
-            row = here[good[np.argsort(-agree[good], kind="stable")]]
-            at = np.flatnonzero(kind[row] != kind[q])
-            at = at[at >= place[q]][:most]
-            node += [names[q]] * len(at)
-            other += [names[i] for i in row[at]]
-            to += (at + 1).tolist()
-        return pa.table({
-            "bucket": pa.array([t["bucket"][0].as_py()] * len(to), pa.int64()), "block": pa.array([t["block"][0].as_py()] * len(to), pa.int64()),
-            "node": pa.array(node, pa.binary()), "other": pa.array(other, pa.binary()), "place": pa.array(to, pa.int32()),
-        })
-
-    return there.unionByName(asking).groupBy("bucket", "block").applyInArrow(compare, _ASKED)
+    classed = written(narrow.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class")), "minhash-classed")
+    classes = classed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1")
+    mixed = written(mixed.select("bucket", "n", F.col("main.class").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / STRANGERS).alias("chunks")), "minhash-mixed")
+    rows = join_groups(classed, mixed, "bucket", "n", "inner").join(nodes, "node").withColumn("stranger", F.col("class") != F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), "chunks"))
+    cells = F.expr("""
+        transform(sequence(0L, chunks - 1), c -> named_struct('block', own, 'chunk', c, 'here', true, 'asks', stranger AND c = turn))
+    """)
+    others = F.expr("""
+        transform(filter(sequence(0L, blocks - 1), b -> stranger AND b <> own), b -> named_struct('block', b, 'chunk', turn, 'here', false, 'asks', true))
+    """)
+    return rows.select("bucket", "node", "class", "sig", "size", "stranger", F.explode(F.concat(cells, others)).alias("cell")).select("bucket", "cell.*", "node", "class", "sig", "size", "stranger")
+
+
+class _Rows:
+    """Columns of the rows of whole cells, sorted by cell and node, and where the cells begin."""
+
+    def __init__(self, t: pa.Table, starts: list[int]):
+        self.starts, self.ends = starts, [*starts[1:], len(t)]
+        self.place = [t[c].to_numpy() for c in ("bucket", "block", "chunk")]
+        self.sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(-1, SAMPLES)
+        self.names, self.size = t["node"].to_pylist(), t["size"].to_numpy()
+        self.kind = t["class"].combine_chunks().dictionary_encode().indices.to_numpy()
+        self.stranger, self.here, self.asks = (t[c].to_numpy() for c in ("stranger", "here", "asks"))
+        self.vecs = t["vec"] if "vec" in t.column_names else None
+
+    def pairs(self, a: int, z: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Strangers, others, and number and places of agreeing samples, of the agreeing pairs of two classes in rows a to z.
+
+        Of two strangers the first by name asks.
+        """
+        q, i = a + np.flatnonzero(self.asks[a:z]), a + np.flatnonzero(self.here[a:z])
+        ok = (self.kind[q][:, None] != self.kind[i][None, :]) & ~(self.stranger[i][None, :] & (i[None, :] < q[:, None]))
+        x, y = np.nonzero(ok)
+        q, i = q[x], i[y]
+        same = self.sigs[q] == self.sigs[i]
+        agree = same.sum(axis=1)
+        good = np.flatnonzero(agree >= least)
+        return q[good], i[good], agree[good], same[good]
+
+    def first_met(self, a: int, z: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same pairs, but each only in the first of the narrow bands that bring it together."""
+        q, i, agree, same = self.pairs(a, z, least)
+        band = int(self.place[0][a]) & (NARROW - 1)
+        if len(q) and band:
+            new = (same.astype(np.float32) @ _IN_SUBSET[:, :band]).max(axis=1) < NARROW_ROWS - 0.5
+            q, i, agree = q[new], i[new], agree[new]
+        return q, i, agree
+
+
+_IN_SUBSET = np.zeros((SAMPLES, NARROW), dtype=np.float32)
+for _j, _s in enumerate(_SUBSETS):
+    _IN_SUBSET[list(_s), _j] = 1.0
+
+_CELL = ("bucket", "block", "chunk")
+
+
+def _by_cell(cells: DataFrame, each, schema: str) -> DataFrame:
+    """``each(rows)`` over whole cells; it returns columns of ``schema``."""
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        held = []
+        for b in batches:
+            t = pa.Table.from_batches([*held, b])
+            keys = np.stack([t[c].to_numpy() for c in _CELL])
+            starts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            held = t.slice(int(starts[-1]) if len(starts) else 0).to_batches()
+            if len(starts):
+                yield made(t.slice(0, int(starts[-1])), [0, *starts[:-1].tolist()])
+        if held:
+            yield made(pa.Table.from_batches(held), [0])
+
+    def made(t, starts):
+        got = each(_Rows(t, starts))
+        return pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
+
+    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "node").mapInArrow(run, schema)
+
+
+def _best_pairs(cells: DataFrame, least: int) -> DataFrame:
+    """(a, b): of each stranger and cell the BEST agreeing pairs."""
+
+    def best(r):
+        a, b = [], []
+        for start, end in zip(r.starts, r.ends, strict=True):
+            q, i, agree, _ = r.pairs(start, end, least)
+            order = np.lexsort((i, -agree, q))
+            q, i = q[order], i[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            for x, y in zip(q[rank < BEST].tolist(), i[rank < BEST].tolist(), strict=True):
+                a.append(min(r.names[x], r.names[y]))
+                b.append(max(r.names[x], r.names[y]))
+        return {"a": a, "b": b}
+
+    return _by_cell(cells, best, "a binary, b binary").distinct()
+
+
+def _needed(cells: DataFrame, least: int) -> DataFrame:
+    """Rows of cells with a pair to verify there, and (other not null) pairs with a long text."""
+    names = (*_CELL, "node", "other", "class", "here", "asks", "stranger")
+
+    def need(r):
+        out = {n: [] for n in names}
+        for start, end in zip(r.starts, r.ends, strict=True):
+            q, i, _ = r.first_met(start, end, least)
+            long = (r.size[q] > LONG) | (r.size[i] > LONG)
+            rows = np.unique(np.concatenate((q[~long], i[~long])))
+            for x in rows.tolist():
+                out["node"].append(r.names[x])
+                out["other"].append(None)
+            for x, y in zip(q[long].tolist(), i[long].tolist(), strict=True):
+                out["node"].append(r.names[x])
+                out["other"].append(r.names[y])
+            both = np.concatenate((rows, q[long]))
+            for k, v in (*zip(_CELL, r.place, strict=True), ("class", r.kind), ("here", r.here), ("asks", r.asks), ("stranger", r.stranger)):
+                out[k] += v[both].tolist()
+        return out
+
+    return _by_cell(cells, need, "bucket long, block long, chunk long, node binary, other binary, class int, here boolean, asks boolean, stranger boolean")
+
+
+_LINK = "src binary, dst binary, similarity double"
+
+
+def _cell_links(needed: DataFrame, nodes: DataFrame, vectors: DataFrame, threshold: float, least: int) -> DataFrame:
+    """Links between the classes of each cell; pairs whose classes its other links have joined are left out."""
+    rows = needed.where("other IS NULL").drop("other").join(nodes, "node").join(vectors, "node")
+
+    def judge(r):
+        src, dst, sim = [], [], []
+        for start, end in zip(r.starts, r.ends, strict=True):
+            q, i, agree = r.first_met(start, end, least)
+            known, into = {}, {}
+
+            def root(k, into=into):
+                while into.get(k, k) != k:
+                    k = into[k]
+                return k
+
+            def vec(k, known=known):
+                if k not in known:
+                    known[k] = _unpacked(np.frombuffer(r.vecs[k].as_py(), dtype=np.uint64))
+                return known[k]
+
+            order = np.lexsort((i, q, -agree))
+            for x, y in zip(q[order].tolist(), i[order].tolist(), strict=True):
+                a, b = root(int(r.kind[x])), root(int(r.kind[y]))
+                if a == b:
+                    continue
+                s = _overlap(*vec(x), *vec(y))
+                if s >= threshold:
+                    into[a] = b
+                    src.append(r.names[x])
+                    dst.append(r.names[y])
+                    sim.append(s)
+        return {"src": src, "dst": dst, "similarity": sim}
+
+    return _by_cell(rows, judge, _LINK)
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -306,21 +456,24 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, node, kept) for every row of ``docs``.
+    """(doc_id, class_id, node, kept, class_size, links, similarity) for every row of ``docs``.
 
     ``class_id`` is the smallest doc_id of the class; ``kept`` marks that row.
     ``node`` tells texts apart that differ in more than the blanks between words.
     Texts with the same words are in one class, so all texts without words are
     (null counts as empty); a text of fewer than five words is like no other.
+    ``links`` counts the verified links of the row's text to other texts (enough of
+    them to join its class, not all pairs), ``similarity`` is the highest of them,
+    null without one.
     Null ids count last; rows that repeat the smallest id are all marked; an empty
     table gives an empty result.
     """
     out = _classes(docs, threshold)
-    return out.select("doc_id", "class_id", F.hex("node").alias("node"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "class_id", F.hex("node").alias("node"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "class_size", "links", "similarity")
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, node, class, class_id) for every row; ``class`` tells classes apart that share a smallest id."""
+    """(doc_id, node, class, class_id, class_size, links, similarity) for every row; ``class`` tells classes apart that share a smallest id."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", "text")
@@ -338,10 +491,10 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     signed = written(arrow_map(texts, sign, "doc_id long, node binary, sig binary"), "minhash-signed")
     groups = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     groups = written(groups, "minhash-groups")
-    nodes = groups.where("sig IS NOT NULL").select("node", "sig")
+    nodes, least = groups.where("sig IS NOT NULL").select("node", "sig"), least_agreement(threshold)
 
     wide = [tuple(range(i * (SAMPLES // WIDE), (i + 1) * (SAMPLES // WIDE))) for i in range(WIDE)]
-    members, _ = _buckets(nodes, wide, 0, "minhash-wide")
+    members = _buckets(nodes, wide, 0, "minhash-wide")
     near = written(members.select("node").distinct().join(nodes, "node"), "minhash-near")
     bits = spark.sparkContext.broadcast(bitmap(near, "node"))
 
@@ -365,49 +518,32 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
 
     vectors = arrow_map(texts.select("text"), None, "node binary, vec binary", vector_state)
     vectors = written(vectors.groupBy("node").agg(F.first("vec").alias("vec")), "minhash-vectors")
+    sized = written(near.join(vectors.select("node", (F.length("vec") / 8).cast("long").alias("size")), "node"), "minhash-sized")
 
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    labels = connected_components(written(_verified(_agreeing(pairs, near), vectors, threshold).select("src", "dst"), "minhash-links"))
-
-    narrow, _ = _buckets(near, _SUBSETS, 1000, "minhash-narrow")
-    narrow, round_, idle, quiet, changed = narrow.select("bucket", "node"), 0, 0, 0, True
-    asked, tried = spark.createDataFrame([], "bucket long, block long, node binary, place int"), None
-    tried_path = scratch_path(spark, "minhash-tried")
-    while True:
-        if changed:
-            # members by class; only buckets with more than one class go on
-            classed = written(narrow.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class")), "minhash-classed")
-            classes = classed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-            mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1")
-            turns = F.ceil((F.col("n") - F.col("main.n")) / STRANGERS)
-            mixed = written(mixed.select("bucket", "n", F.col("main.class").alias("main"), turns.alias("turns")), "minhash-mixed")
-            most = mixed.agg(F.max("turns")).first()[0]
-            if most is None:
-                break
-        now = _strangers(join_groups(classed, mixed, "bucket", "n", "inner"), near, asked, round_, BEST * min(1 << quiet, PATIENT))
-        now, changed, round_ = written(now, "minhash-asking"), False, round_ + 1
-        if now.isEmpty():
-            idle += 1
-            if idle >= most:  # every stranger has had its turn and none has a pair left
-                break
-            continue
-        asked = written(asked.unionByName(now.select(*asked.columns)).groupBy("bucket", "block", "node").agg(F.max("place").alias("place")), "minhash-asked")
-        # a pair of several buckets is verified once
-        pairs = now.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        pairs.write.mode("append").parquet(tried_path)
-        tried = spark.read.schema(pairs.schema).parquet(tried_path)
-        found = written(_verified(pairs, vectors, threshold).select("src", "dst"), "minhash-links")
-        idle = 0
-        if found.isEmpty():
-            quiet += 1
-        else:
-            labels, quiet, changed = merged(labels, found), 0, True
-
-    classed = groups.join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("class"))
-    heads = classed.groupBy("class").agg(F.min("first_id").alias("class_id"))
-    classed = written(classed.join(heads, "class").select("node", "class", "class_id", "copies"), "minhash-classes")
-    return join_groups(signed.select("doc_id", "node"), classed, "node", "copies", "inner").select("doc_id", "node", "class", "class_id")
+    found = [written(_verified(_agreeing(pairs, near, least), vectors, threshold), "minhash-links")]
+    discard(members)
+    labels = connected_components(found[0])
+
+    narrow = _buckets(near, _SUBSETS, 1000, "minhash-narrow").select("bucket", "node")
+    # first the best pairs, one by one, which join most of what is left; then all others, cell by cell
+    found.append(written(_verified(_best_pairs(_cells(narrow, labels, sized), least), vectors, threshold), "minhash-links"))
+    labels = merged(labels, found[1])
+    needed = written(_needed(_cells(narrow, labels, sized), least), "minhash-needed")
+    far = needed.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    rest = _cell_links(needed, sized, vectors, threshold, least).unionByName(_verified(far, vectors, threshold))
+    found.append(written(rest, "minhash-links"))
+    labels = merged(labels, found[2])
+
+    links = found[0].unionByName(found[1]).unionByName(found[2])
+    links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity"))
+    links = links.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("links"), F.max("similarity").alias("similarity"))
+    classed = groups.join(labels, "node", "left").join(links, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), "similarity")
+    classed = written(classed, "minhash-linked")
+    heads = written(classed.groupBy("class").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members")), "minhash-heads")
+    out = written(join_groups(classed, heads, "class", "members", "inner").drop("members"), "minhash-classes")
+    discard(vectors, near, sized, needed, classed, heads, *found)
+    return join_groups(signed.select("doc_id", "node"), out.drop("first_id"), "node", "copies", "inner").drop("copies")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
