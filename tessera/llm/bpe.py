@@ -8,11 +8,15 @@ window over the join until the window's ids agree with the ids of both sides.
 
 Three passes: count chunk digests; encode documents without shared chunks and
 send the others' chunks away; encode the shared chunks once and assemble.
+
+A vocabulary whose tokens may span blanks (byte-level ones join a blank to the
+word after it) has no chunks to reuse, and each text is encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable
 
@@ -54,6 +58,8 @@ class Encoder:
         self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.digits = [str(i) for i in range(size)]
         self.words: dict[str, bytes] = {}
+        #: whether chunks may be encoded apart
+        self.reusable = breaks_at_blanks(self.tok)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -100,6 +106,30 @@ class Encoder:
         return " ".join([self.names[i] for i in ids])
 
 
+#: Normalizers that treat the two sides of a blank alike, wherever it stands.
+_LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "Nmt"}
+
+
+def breaks_at_blanks(tok) -> bool:
+    """Whether no token of this tokenizer holds or spans a blank or line end, so that a text may be encoded in parts there."""
+    spec = json.loads(tok.to_str())
+    flat = lambda x, key: [] if x is None else [y for z in x[key] for y in flat(z, key)] if x["type"] == "Sequence" else [x]
+    for n in flat(spec["normalizer"], "normalizers"):
+        blanks = n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "
+        if n["type"] not in _LOCAL and not blanks:
+            return False
+    for t in spec["added_tokens"]:
+        if t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]):
+            return False
+    first = next(iter(flat(spec["pre_tokenizer"], "pretokenizers")), None)
+    drops = first is not None and (first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or (first["type"] == "Split" and first["behavior"] == "Removed"))
+    if not drops or spec["model"]["type"] != "BPE":
+        return False
+    names = lambda x: [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(x)]
+    sides = ["a", "B7", "é", "'s", "'", "-", "x.", "...", "\u4e2d", "\u0301", "7", "_", "don't"]
+    return all(names(a + c + b) == names(a) + names(b) for a in sides for b in sides for c in (" ", "\n", "  ", " \n"))
+
+
 def cuts(text: str) -> list[int]:
     """Where chunks end.  Depends only on the WINDOW characters before, but for the least and most length of a chunk."""
     n = len(text)
@@ -168,8 +198,8 @@ def assemble(enc: Encoder, docs: list[tuple[list[str], list[tuple[bytes, str, st
 
     Each gap is re-encoded together with the words next to it.  The window's
     ids must begin with the ids of the word before and end with those of the
-    word after, and these must be what the cores hold there; if not, the window
-    takes in whole cores and finally the whole document is encoded anew.
+    word after, and these must be what the cores hold there; a document where
+    that fails is None, for ``repaired``.
     """
     windows, words = [], []
     for gaps, cores in docs:
@@ -195,8 +225,33 @@ def assemble(enc: Encoder, docs: list[tuple[list[str], list[tuple[bytes, str, st
     return out
 
 
-def _whole(enc: Encoder, text: str) -> bytes:
-    return enc.plain([text])[0]
+def repaired(enc: Encoder, text: str) -> bytes:
+    """Ids of a text whose chunk joins disagree: each window takes in whole cores on the side that disagrees, until both agree.
+
+    The widest window is the whole text.
+    """
+    gaps, cores = parts(text)
+    ids, n = enc.plain(cores), len(cores)
+    windows: list[tuple[int, int, bytes]] = []  # first and last gap re-encoded, their ids
+    i = 0
+    while i <= n:
+        low = high = i
+        while True:
+            while windows and windows[-1][1] >= low:
+                low = min(low, windows.pop()[0])
+            before, after = last_word(cores[low - 1]) if low else "", first_word(cores[high]) if high < n else ""
+            body = "".join([gaps[k] + (cores[k] if k < high else "") for k in range(low, high + 1)])
+            w = enc.plain([(before + cores[low - 1][-1] if low else "") + body + (cores[high][0] + after if high < n else "")])[0]
+            a, z = enc.plain([before, after])
+            left = not low or (a and w.startswith(a) and ids[low - 1].endswith(a))
+            right = high == n or (z and w.endswith(z) and ids[high].startswith(z))
+            if left and right and len(w) >= len(a) + len(z):
+                break
+            both = left and right  # the sides overlap
+            low, high = low - (both or not left) if low else 0, high + (both or not right) if high < n else n
+        windows.append((low, high, w[len(a) : len(w) - len(z)]))
+        i = high + 1
+    return b"".join([w + (ids[high] if high < n else b"") for _, high, w in windows])
 
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
@@ -217,7 +272,8 @@ def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> Dat
     """The ids of every row's whole text, as the tokenizers library gives them without special tokens.
 
     ``form`` ENCODED returns doc_id, n_tokens and ids; DIGESTS returns digests of
-    the ids and of the decoded text instead.  A null text counts as empty and
+    the ids and of the decoded text instead.  Documents whose chunk joins
+    disagree are repaired (see ``repaired``).  A null text counts as empty and
     has no tokens; rows that repeat an id are encoded one by one; an empty
     table gives an empty result.
     """
@@ -225,6 +281,14 @@ def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    done = "n_tokens long, ids_sha256 string, decoded_sha256 string" if form == DIGESTS else "n_tokens long, ids array<int>"
+    if not Encoder.of(path).reusable:
+
+        def whole_state():
+            enc = Encoder.of(path)
+            return lambda b: _results(enc, b["doc_id"], enc.plain(b["text"]), form)
+
+        return arrow_map(texts, None, f"doc_id long, {done}", whole_state)
 
     def count(b):
         hs: dict[bytes, int] = {}
@@ -238,10 +302,9 @@ def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> Dat
     shared = written(counted.where("n > 1"), "bpe-shared")
     bits = spark.sparkContext.broadcast(bitmap(shared, "h"))
 
-    done = "n_tokens long, ids_sha256 string, decoded_sha256 string" if form == DIGESTS else "n_tokens long, ids array<int>"
     names = [x.split()[0] for x in done.split(", ")]
-    schema = f"kind int, doc_id long, {done}, gaps array<string>, cores array<struct<h:binary,ids:binary,first:string,last:string>>, h binary, text string"
-    blank = {n: None for n in ("doc_id", *names, "gaps", "cores", "h", "text")}
+    schema = f"kind int, doc_id long, {done}, gaps array<string>, cores array<struct<h:binary,ids:binary,first:string,last:string>>, h binary, text string, key binary"
+    blank = {n: None for n in ("doc_id", *names, "gaps", "cores", "h", "text", "key")}
 
     def split_state():
         enc, sent, have = Encoder.of(path), set(), bits.value
@@ -263,12 +326,12 @@ def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> Dat
                         rows.append(blank | {"kind": 2, "h": m, "text": c})
             ids = dict(zip(own, enc.encode(own), strict=True))
             made = assemble(enc, [(gaps, [(ids[c], first_word(c), last_word(c)) for c in cores]) for _, _, gaps, cores, _ in whole])
-            made = [m if m is not None else _whole(enc, w[1]) for m, w in zip(made, whole, strict=True)]
+            made = [m if m is not None else repaired(enc, w[1]) for m, w in zip(made, whole, strict=True)]
             got = _results(enc, [w[0] for w in whole], made, form)
             for k in range(len(whole)):
                 rows.append(blank | {"kind": 0, "doc_id": got["doc_id"][k], **{n: got[n][k] for n in names}})
-            for i, _, gaps, cores, marks in later:
-                rows.append(blank | {"kind": 1, "doc_id": i, "gaps": gaps, "cores": [{"h": m, "ids": None if m else ids[c], "first": first_word(c), "last": last_word(c)} for c, m in zip(cores, marks, strict=True)]})
+            for i, t, gaps, cores, marks in later:
+                rows.append(blank | {"kind": 1, "doc_id": i, "key": digest(t), "gaps": gaps, "cores": [{"h": m, "ids": None if m else ids[c], "first": first_word(c), "last": last_word(c)} for c, m in zip(cores, marks, strict=True)]})
             return {n: [r[n] for r in rows] for n in ("kind", *blank)}
 
         return each
@@ -284,7 +347,7 @@ def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> Dat
     book = arrow_map(once, None, "h binary, ids binary", encode_state)
     book = written(book.join(shared, "h", "left").select("h", "ids", F.coalesce("n", F.lit(1)).alias("n")), "bpe-book")
 
-    waiting = split.where("kind = 1").select("row", "doc_id", "gaps", "cores")
+    waiting = split.where("kind = 1").select("row", "doc_id", "key", "gaps", "cores")
     refs = waiting.select("row", F.posexplode("cores").alias("at", "core")).where("core.h IS NOT NULL").select("row", "at", F.col("core.h").alias("h"))
     found = join_groups(refs, book, "h", "n", "inner").groupBy("row").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
 
@@ -297,16 +360,36 @@ def encode(docs: DataFrame, path: str | None = None, form: str = ENCODED) -> Dat
                 ids = {f["at"]: f["ids"] for f in found}
                 docs_in.append((gaps, [(c["ids"] if c["h"] is None else ids[k], c["first"], c["last"]) for k, c in enumerate(cores)]))
             made = assemble(enc, docs_in)
+            out = _results(enc, b["doc_id"], [m or b"" for m in made], form)
             for k, m in enumerate(made):
                 if m is None:
-                    raise ValueError(f"chunk joins of document {b['doc_id'][k]} cannot be repaired with this tokenizer")
-            return _results(enc, b["doc_id"], made, form)
+                    out["n_tokens"][k] = None
+            return out | {"key": b["key"]}
 
         return each
 
-    joined = waiting.join(found, "row").select("doc_id", "gaps", "cores", "found")
-    late = arrow_map(joined, None, f"doc_id long, {done}", assemble_state)
-    return split.where("kind = 0").select("doc_id", *names).unionByName(late)
+    joined = waiting.join(found, "row").select("doc_id", "key", "gaps", "cores", "found")
+    late = written(arrow_map(joined, None, f"doc_id long, {done}, key binary", assemble_state), "bpe-late")
+    failed = late.where("n_tokens IS NULL").select("doc_id", "key")
+    out = split.where("kind = 0").select("doc_id", *names).unionByName(late.where("n_tokens IS NOT NULL").drop("key"))
+    return out if failed.isEmpty() else out.unionByName(_repair(texts, failed, path, form, done))
+
+
+def _repair(texts: DataFrame, failed: DataFrame, path: str, form: str, done: str) -> DataFrame:
+    """Results of the documents whose joins failed, from their texts, which are found by digest."""
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(failed, "key"))
+
+    def find(b):
+        keys = [digest(t) for t in b["text"]]
+        at = [k for k, key in enumerate(keys) if in_bitmap(bits.value, key)]
+        return {"key": [keys[k] for k in at], "text": [b["text"][k] for k in at]}
+
+    def state():
+        enc = Encoder.of(path)
+        return lambda b: _results(enc, b["doc_id"], [repaired(enc, t) for t in b["text"]], form)
+
+    found = arrow_map(texts.select("text"), find, "key binary, text string").dropDuplicates(["key"])
+    return arrow_map(failed.join(found, "key").select("doc_id", "text"), None, f"doc_id long, {done}", state)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
