@@ -85,6 +85,11 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(parts)
 
 
+def hash_share(key: Column | str) -> Column:
+    """A number from 0 to 1 by a hash of the key, in steps of 2^-53: less than x for a share x of the keys, however small."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 53)) / F.lit(2.0**53)
+
+
 def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] | None], schema: str | T.StructType, state: Callable[[], Callable] | None = None) -> DataFrame:
     """``mapInArrow`` over columns as Python lists.  ``state`` builds ``f`` once per task."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -124,6 +129,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     return cold.unionByName(warm)
 
 
+def split_join(rows: DataFrame, key: str, hot: DataFrame, values: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """Rows joined to ``values`` by ``key``: those of a ``hot`` key to the ``few`` values of hot keys, where they are.
+
+    ``hot`` and ``few`` hold at most HOT_PARTS keys and are broadcast.
+    """
+    return rows.join(hot, key, "left_anti").join(values, key, how).unionByName(rows.join(hot, key, "left_semi").join(few, key, how))
+
+
 #: Bits of the fixed-size filters made by ``bitmap``.
 FILTER_BITS = 24
 

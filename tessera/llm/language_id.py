@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, small_batches, written
+from .common import arrow_map, fold, hash_share, small_batches, written
 
 DIMENSIONS = 8192
 CENTROIDS = 4
@@ -122,10 +122,10 @@ def fit(rows: DataFrame, centroids: int = CENTROIDS, bound: int = SAMPLE_BOUND)
     idf = np.log((df[-1] + 1.0) / (df[:-1] + 1.0)) + 1.0
 
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0)
+    share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, bound / n) * 1_000_000))).otherwise(share)
-    sample = written(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share), "lang-sample")
+        share = F.when(F.col("lang") == lang, F.lit(bound / n)).otherwise(share)
+    sample = written(rows.where(hash_share("doc_id") < share), "lang-sample")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         x = [v for t in pdf["text"] if (v := vector(t, idf)) is not None]

@@ -11,23 +11,25 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, small_batches, written
+from .common import arrow_map, fold, hash_share, small_batches, written
 
 TOKEN = re.compile(r"\w+")
 #: The classifier is fitted on about this many labelled documents of a class at most, chosen by a hash of their ids.
 LABELLED_BOUND = 20_000
 #: Lengths of word beginnings that stand in for words without weights, longest first.
 PREFIXES = (8, 7, 6, 5, 4)
-#: Weight of the prior in pseudo-documents; least z, least log-odds and most number of scoring tokens.
-PRIOR, LEAST_Z, LEAST_ODDS, MOST_TOKENS = 50.0, 3.5, 2.0, 100_000
+#: Weight of the prior in pseudo-documents; least z and least log-odds of a scoring token, and fewest toxic documents that hold it.
+PRIOR, LEAST_Z, LEAST_ODDS, LEAST_TOXIC = 50.0, 3.5, 2.0, 3
 #: What a token without evidence costs: it keeps the expected score of clean text below zero.
 DRIFT = 0.2
+#: Log-odds count as this at most, so that one word alone proves little.
 MOST_SCORE = 8.0
 
 
@@ -68,8 +70,8 @@ class ToxicModel:
     def __post_init__(self):
         self.stems = {w[1:5] for w in self.weights if w[0] == "^"}
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of tokens; (first, last token, score in nats beyond chance) of each significant passage."""
+    def _scores(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        """Number of tokens, and place and score of those that score."""
         get, found = self.weights.get, []
         words = TOKEN.findall((text or "").lower())
         for i, w in enumerate(words):
@@ -78,11 +80,21 @@ class ToxicModel:
                 s = next((x for n in PREFIXES if (x := get("^" + w[:n]))), None)
             if s:
                 found.append((i, s))
+        return len(words), found
+
+    def highest(self, text: str | None) -> tuple[int, float]:
+        """Number of tokens and score of the best segment, 0 without one."""
+        n, found = self._scores(text)
+        return n, max((s for _, _, s in segments(found, self.drift, n)), default=0.0)
+
+    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens; (first, last token, score in nats beyond chance) of each significant passage."""
+        n, found = self._scores(text)
         if not found:
-            return len(words), []
-        chance = math.log(self.k * max(len(words), 1) + 1.0)
-        out = [(a, b, self.lam * s - chance) for a, b, s in segments(found, self.drift, len(words))]
-        return len(words), [x for x in out if x[2] > 0]
+            return n, []
+        chance = math.log(self.k * max(n, 1) + 1.0)
+        out = [(a, b, self.lam * s - chance) for a, b, s in segments(found, self.drift, n)]
+        return n, [x for x in out if x[2] > 0]
 
     def evidence(self, text: str | None) -> float:
         return sum(s for _, _, s in self.passages(text)[1])
@@ -91,8 +103,8 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.evidence(text) + self.offset))))
 
 
-def _words(text: str | None) -> set[str]:
-    return set(TOKEN.findall((text or "").lower()))
+def _words(text: str | None) -> Counter:
+    return Counter(TOKEN.findall((text or "").lower()))
 
 
 def sampled(rows: DataFrame, bound: int = LABELLED_BOUND) -> DataFrame:
@@ -100,8 +112,7 @@ def sampled(rows: DataFrame, bound: int = LABELLED_BOUND) -> DataFrame:
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     keep = F.lit(False)
     for y, c in n.items():
-        part = min(1.0, bound / c)
-        keep = F.when(F.col("y") == y, F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).otherwise(keep)
+        keep = F.when(F.col("y") == y, hash_share("doc_id") < bound / c).otherwise(keep)
     return rows.where(keep)
 
 
@@ -114,45 +125,65 @@ def fit(rows: DataFrame) -> ToxicModel | None:
 
     clean, toxic = sizes[0], sizes[1]
 
-    def weigh(features, most: int, least_z: float = LEAST_Z) -> list:
-        """The tokens that ``features`` draws from a document and that clearly speak for toxicity."""
+    def weigh(features, least_z: float = LEAST_Z) -> list:
+        """The tokens that ``features`` draws from a document and that clearly speak for toxicity.
+
+        ``features`` gives tokens with how often they occur; documents count for
+        the odds, occurrences in clean ones for the background.
+        """
 
         def state():
             counts: dict[str, list[int]] = {}
 
             def each(b):
                 for text, y in zip(b["text"], b["y"], strict=True):
-                    for w in features(text):
+                    for w, n in features(text).items():
                         c = counts.get(w)
                         if c is None:
-                            c = counts[w] = [0, 0]
+                            c = counts[w] = [0, 0, 0]
                         c[y] += 1
+                        c[2] += 0 if y else n
 
             def finish():
                 if counts:
-                    yield {"token": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]}
+                    yield {"token": list(counts), **{k: [c[i] for c in counts.values()] for i, k in enumerate(("clean", "toxic", "times"))}}
 
             each.finish = finish
             return each
 
-        counted = arrow_map(rows.select("text", "y"), None, "token string, clean long, toxic long", state).groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        counted = arrow_map(rows.select("text", "y"), None, "token string, clean long, toxic long, times long", state).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "times")])
         prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / F.lit(clean + toxic)
         odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
         scored = counted.where("toxic > 0").withColumn("weight", odds("toxic", toxic) - odds("clean", clean))
         scored = scored.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-        return scored.where((F.col("z") >= least_z) & (F.col("weight") >= LEAST_ODDS) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "token").limit(most).collect()
+        return scored.where((F.col("z") >= least_z) & (F.col("weight") >= LEAST_ODDS) & (F.col("toxic") >= LEAST_TOXIC)).orderBy(F.desc("z"), "token").collect()
 
-    best = weigh(_words, MOST_TOKENS)
+    best = weigh(_words)
     known = {r["token"] for r in best}
+
+    def beginnings(text):
+        out: Counter = Counter()
+        for w, times in _words(text).items():
+            if w not in known:
+                out.update({"^" + w[:n]: times for n in PREFIXES if len(w) >= n})
+        return out
+
     # beginnings are judged by the other words alone, else a toxic word would taint all that begin like it
-    best += weigh(lambda text: {"^" + w[:n] for w in _words(text) - known for n in PREFIXES if len(w) >= n}, MOST_TOKENS, LEAST_Z + 1.5)
+    best += weigh(beginnings, LEAST_Z + 1.5)
     weights = {r["token"]: min(MOST_SCORE, float(r["weight"])) for r in best}
 
-    # Background: how often a clean document's token scores, from the same counts.
-    tokens = 300.0 * clean
-    rates = [((r["clean"] + 0.5) / tokens, weights[r["token"]]) for r in best]
-    lam = _lambda(rates, DRIFT)
-    model = ToxicModel(weights, DRIFT, lam, 0.1)
+    # Background: how often a token of a clean document scores, and how high its best segments come, by clean documents.
+    lengths = arrow_map(rows.where("y = 0").select("text"), lambda b: {"n": [sum(_words(t).values()) for t in b["text"]]}, "n long")
+    tokens = float(lengths.agg(F.sum("n")).first()[0] or 0) + 1.0
+    model = ToxicModel(weights, DRIFT, _lambda([((r["times"] + 0.5) / tokens, weights[r["token"]]) for r in best], DRIFT), 1.0)
+
+    def highest(b):
+        n, m = zip(*[model.highest(t) for t in b["text"]], strict=True) if b["text"] else ((), ())
+        return {"n": list(n), "below": [k * math.exp(-model.lam * x) for k, x in zip(n, m, strict=True)]}
+
+    # The highest of n tokens' segments stays below x with probability exp(-K n exp(-lambda x)): the likeliest K.
+    got = arrow_map(rows.where("y = 0").select("text"), highest, "n long, below double").where("n > 0").agg(F.count(F.lit(1)).alias("texts"), F.sum("below").alias("below")).first()
+    model.k = got["texts"] / got["below"] if got["below"] else 1.0
 
     def evidence(b):
         return {"y": b["y"], "x": [model.evidence(t) for t in b["text"]]}
