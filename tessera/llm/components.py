@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_PARTS, discard, join_groups, written
+from .common import HOT_PARTS, discard, join_groups, split_join, written
 
 
 def connected_components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, labels: DataFrame | None = None) -> D
     hubs = written(both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).select("node"), "cc-hubs")
     while not now.isEmpty():
         few = F.broadcast(now.join(F.broadcast(hubs), "node", "left_semi"))
-        seen = _split(both, "src", F.broadcast(hubs.withColumnRenamed("node", "src")), now.withColumnRenamed("node", "src"), few.withColumnRenamed("node", "src"), "inner")
+        seen = split_join(both, "src", F.broadcast(hubs.withColumnRenamed("node", "src")), now.withColumnRenamed("node", "src"), few.withColumnRenamed("node", "src"), "inner")
         seen = seen.groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
         # a label's holder hears of what its own members have heard
         up = now.join(seen, "node").where("near < component").groupBy(F.col("component").alias("node")).agg(F.min("near").alias("near"))
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, labels: DataFrame | None = None) -> D
         spread = written(spread, "cc-spread")
         roots = spread.select(F.col("node").alias("step"), F.col("step").alias("jump"))
         held = F.broadcast(spread.groupBy("step").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).select("step"))
-        new = _split(spread, "step", held, roots, F.broadcast(roots.join(held, "step", "left_semi")), "left")
+        new = split_join(spread, "step", held, roots, F.broadcast(roots.join(held, "step", "left_semi")), "left")
         new = written(new.select("node", F.least("step", "jump").alias("component"), "was"), "cc-labels")
         done = new.where("component <> was").isEmpty()
         discard(spread, now)
@@ -49,11 +49,6 @@ def connected_components(edges: DataFrame, labels: DataFrame | None = None) -> D
     return now
 
 
-def _split(rows: DataFrame, key: str, hot: DataFrame, values: DataFrame, few: DataFrame, how: str) -> DataFrame:
-    """Rows joined to ``values`` by ``key``: those of a ``hot`` key to the ``few`` values of hot keys, where they are."""
-    return rows.join(hot, key, "left_anti").join(values, key, how).unionByName(rows.join(hot, key, "left_semi").join(few, key, how))
-
-
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Components once ``edges`` are added: only the graph of old components is searched."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_was"))

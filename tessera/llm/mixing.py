@@ -21,7 +21,7 @@ from .common import SPACES, written
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 #: Documents in a range of keys, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 
 
 def word_count(text: str | Column = "text") -> Column:

@@ -223,15 +223,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return whole.select("dk", F.col("lo").alias("start"), (F.col("hi") + WIDTH).alias("end")).unionByName(partly).withColumnRenamed("dk", "text_key")
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean"
+CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, changed boolean"
 
 
 def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     """What is left of every row's whole text once repeated bytes are removed.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), and the
-    spans and remaining bytes, or a digest of these.  Null texts count as empty;
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), the spans
+    and remaining bytes, or a digest of these, and whether anything was removed.  Null texts count as empty;
     texts shorter than WIDTH bytes stay as they are; equal texts of WIDTH bytes
     or more are removed entirely in all rows, also where rows repeat an id.
     """
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     spans = repeated_spans(docs).groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = written(spans, "repeat-spans")
     bits = spark.sparkContext.broadcast(bitmap(spans, "text_key"))
-    names = ("kept_sha256",) if digests else ("spans", "kept")
+    names = (("kept_sha256",) if digests else ("spans", "kept")) + ("changed",)
     schema = RESULT if digests else CLEANED
 
     def finish(doc_ids, raws, spans_of):
@@ -255,6 +255,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
             out["n_bytes"].append(len(raw))
             out["n_removed"].append(len(raw) - len(kept))
             out["n_spans"].append(len(gone))
+            out["changed"].append(bool(gone))
             if digests:
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             else:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import HOT_PARTS, join_groups, split_join, written
 from .components import connected_components
 
 #: (verdict, host, path)
@@ -98,11 +98,19 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
 
     # an alias need not be a page itself: rules are asked of every url in a component
     node_host, node_path = F.regexp_extract("node", r"\A([^/?#]*)", 1), F.regexp_extract("node", r"\A[^/?#]*([^?#]*)", 1)
-    blocked = parts.where(best_rule(node_host, node_path, rules)["verdict"] == "block").select("component").distinct().withColumn("alias_blocked", F.lit(True))
-    parts = written(parts.join(blocked, "component", "left").select("node", "component", "alias_blocked"), "url-parts")
+    blocks = F.coalesce(best_rule(node_host, node_path, rules)["verdict"] == "block", F.lit(False))
+    whole = written(parts.groupBy("component").agg(F.max(blocks).alias("alias_blocked"), F.count(F.lit(1)).alias("members")), "url-components")
+    parts = written(join_groups(parts, whole, "component", "members", "inner").select("node", "component", "alias_blocked"), "url-parts")
 
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), url_key(F.col("url")).alias("node"))
     best = best_rule(F.col("host"), F.col("path"), rules)
-    out = seen.withColumn("best", best).select("*", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("own")).join(parts, "node", "left")
+    seen = seen.withColumn("best", best).select("*", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("own"))
+    # pages without a host have no aliases; urls of many pages, with aliases or not, meet their component by broadcast
+    named = seen.where("node IS NOT NULL")
+    floor = max(pages.count() // HOT_PARTS, 1000)
+    often = written(named.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).select("node"), "url-often")
+    few = F.broadcast(parts.join(F.broadcast(often), "node", "left_semi"))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in parts.dtypes if c != "node"]
+    out = split_join(named, "node", F.broadcast(often), parts, few, "left").unionByName(seen.where("node IS NULL").select("*", *none))
     final = F.coalesce(F.col("own"), F.when(F.col("alias_blocked"), F.lit("block")), F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", final.alias("verdict"), F.coalesce("component", "node").alias("component"))

@@ -172,7 +172,7 @@ def test_bpe_equals_the_library(spark, odd, empty, docs):
     tok = Tokenizer.from_file(bpe.default_path())
     shared = prose(3, 2500)
     copies = frame(spark, [(100 + i, prose(i, 300) + " " + shared + prose(i, 20), "en", "s") for i in range(6)])
-    for df in (odd, clashing(docs.limit(80)).select(*odd.columns), copies, empty):
+    for df in (odd, clashing(docs), copies, empty):
         rows = [(r.doc_id, r.text or "") for r in df.collect()]
         want = sorted((str(i), tok.encode(t, add_special_tokens=False).ids) for i, t in rows)
         got = bpe.encode(df)
@@ -184,6 +184,45 @@ def test_bpe_equals_the_library(spark, odd, empty, docs):
     assert dig[100].n_tokens == len(one) and dig[100].ids_sha256 == hashlib.sha256(" ".join(map(str, one)).encode()).hexdigest()
 
 
+def test_joins_that_disagree_are_repaired(spark, monkeypatch):
+    """A vocabulary that joins blanks to words, taken by force for one that breaks there, still gives the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path().replace("word_bpe_49k", "byte_bpe_50k")
+    tok = Tokenizer.from_file(path)
+    shared = prose(3, 2500)
+    rows = [(i, prose(i, 300) + " " + shared + prose(i, 20), "en", "s") for i in range(4)] + [(9, "one  two\n three", "en", "s"), (10, None, "en", "s")]
+    want = {i: tok.encode(t or "", add_special_tokens=False).ids for i, t, *_ in rows}
+    assert not bpe.Encoder.of(path).reusable and bpe.Encoder.of(bpe.default_path()).reusable
+    assert {r.doc_id: r.ids for r in bpe.encode(frame(spark, rows), path).collect()} == want
+    forced = bpe.Encoder(path)
+    for _, t, *_ in rows:
+        assert forced.array(bpe.repaired(forced, t or "")).tolist() == tok.encode(t or "", add_special_tokens=False).ids
+
+
+def test_failed_joins_find_their_texts(spark, monkeypatch):
+    """Documents whose shared chunks don't join come back through their texts, copies and null ids too."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.default_path())
+    texts = [prose(i, 100) + " " + prose(3, 2500) for i in range(3)]
+    failed = spark.createDataFrame([(1, bytearray(bpe.digest(texts[0]))), (None, bytearray(bpe.digest(texts[0]))), (2, bytearray(bpe.digest(texts[1])))], "doc_id long, key binary")
+    all_ = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = bpe._repair(all_, failed, bpe.default_path(), bpe.ENCODED, "n_tokens long, ids array<int>").collect()
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {r.doc_id: r.ids for r in got} == {1: ids[0], None: ids[0], 2: ids[1]} and len(got) == 3
+
+
+def test_windows_widen_until_they_agree():
+    """Cores whose ids are wrong at their ends are taken into the window, and the rest is kept."""
+    enc = bpe.Encoder(bpe.default_path())
+    text = " ".join(prose(k, 800) for k in range(4))
+    cores = bpe.parts(text)[1]
+    want, right, bad = enc.plain([text])[0], enc.plain, {cores[1], cores[4], cores[-1]}
+    enc.plain = lambda texts: [b"\0\0" if t in bad else x for t, x in zip(texts, right(texts), strict=True)]
+    assert len(cores) > 6 and bpe.repaired(enc, text) == want
+
+
 def test_chunks_are_defined_by_content():
     body = prose(8, 6000)
     a, b = set(bpe.parts(body)[1]), set(bpe.parts(prose(9, 40) + " " + body)[1])
@@ -266,23 +305,109 @@ def test_copies_do_not_set_the_band(spark):
     assert not kept[200] and all(kept[i] for i, *_ in rows)
 
 
-def test_kneser_ney_sums_to_one(spark, docs):
-    model = perplexity.fit_models(docs.where("lang = 'en'"))["en"]
-    for ctx in ([0, 20], [20, 8], [8, 5]):
-        s = [np.array([*ctx, c], dtype=np.uint64) for c in range(64)]
-        total = sum(float(np.exp(_last(model, x))) for x in s)
-        assert total == pytest.approx(1.0, abs=0.02)
-
-
-def _last(model, s):
-    i, ok = model._find(1, perplexity.hashed(s[2:], 1))
-    p = model.logp[0][i][0] if ok[0] else model.floor
-    for n in (2, 3):
-        gram, ctx = s[3 - n :], s[3 - n : 2]
-        i, ok = model._find(n, perplexity.hashed(gram, n))
-        j, known = model._find(n - 1, perplexity.hashed(ctx, n - 1))
-        p = model.logp[n - 1][i][0] if ok[0] else p + (model.backoff[n - 2][j][0] if known[0] else 0.0)
-    return p
+def brute_kneser_ney(texts, order):
+    """Plain and left-out probabilities of each n-gram by the definition of modified Kneser-Ney, from distinct texts."""
+    c = {order: Counter()}
+    for t in set(texts):
+        s = "\n" * (order - 1) + " ".join(words(t)) + "\n"
+        c[order].update(s[i : i + order] for i in range(len(s) - order + 1))
+    for n in range(order - 1, 0, -1):
+        c[n] = Counter(g[1:] for g in c[n + 1])
+
+    def discount(n):
+        k = Counter(c[n].values())
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] and k[2] else 0.5
+        d = [max(0.0, min(float(i), i - (i + 1) * y * k[i + 1] / k[i])) if k[i] else 0.5 for i in (1, 2, 3)]
+        return lambda x: 0.0 if x <= 0 else d[min(x, 3) - 1]
+
+    d = {n: discount(n) for n in c}
+    followers = {n: defaultdict(dict) for n in c}
+    for n in c:
+        for g, x in c[n].items():
+            followers[n][g[:-1]][g[-1]] = x
+
+    def prob(n, g, left_out):
+        if n == 0:
+            return 1 / (len(c[1]) + 1)
+        after = dict(followers[n][g[:-1]])
+        gone = left_out and c[n][g] == 1
+        if left_out:
+            after[g[-1]] -= 1
+        total = sum(after.values())
+        lower = prob(n - 1, g[1:], gone)
+        if not total:
+            return lower
+        x = after[g[-1]]
+        return (x - d[n](x) + sum(map(d[n], after.values())) * lower) / total
+
+    def unseen(n, g):
+        after = {k: v for k, v in followers[n][g[:-1]].items() if k != g[-1]}
+        lower = prob(n - 1, g[1:], True)
+        return sum(map(d[n], after.values())) * lower / sum(after.values()) if after else lower
+
+    return {(n, g): (x, prob(n, g, False), prob(n, g, True), unseen(n, g)) for n in c for g, x in c[n].items()}
+
+
+SCRIPTS = {
+    "ru": "она читала старую книгу у окна и думала о море которое видела летом когда ветер гнал волны к берегу",
+    "zh": "他们 在 河边 走 了 很久 看见 一只 白色 的 鸟 从 水面 上 飞 起来 然后 消失 在 远处 的 山 后面",
+    "el": "το παιδί έτρεχε στον δρόμο και γελούσε με τους φίλους του μέχρι που νύχτωσε και γύρισε σπίτι",
+    "en": "the boy ran down the road and laughed with his friends until night came and he went home again",
+}
+
+
+def script_prose(lang, seed, n=60):
+    r, w = random.Random(seed), SCRIPTS[lang].split()
+    return " ".join(r.choice(w) for _ in range(n))
+
+
+def test_kneser_ney_equals_its_definition(spark, docs):
+    rows = [(i, script_prose(lang, i, 12), lang, "s") for i, lang in enumerate(["ru", "zh", "en", "en", "el", "ru"])] + [(9, None, "en", "s"), (10, " ", "xx", "s"), (11, "a", "en", "s"), (12, "a", "en", "s")]
+    counted = perplexity.count_ngrams(frame(spark, rows))
+    got = {(r.lang, r.n, r.g): (r.c, r.p, r.q, r.z) for r in perplexity.kneser_ney(counted).collect()}
+    want = {}
+    for lang in {"ru", "zh", "en", "el"}:
+        made = brute_kneser_ney([t for _, t, x, _ in rows if x == lang and words(t)], perplexity.ORDER)
+        want |= {(lang, n, g): v for (n, g), v in made.items()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1:] == pytest.approx(want[k][1:], abs=1e-9) for k in want)
+    # what follows a context sums to one: seen characters, and what backing off leaves to the others
+    per = defaultdict(float)
+    for (lang, n, g), (_, p, *_) in got.items():
+        if n == 1:
+            per[lang] += p
+    assert all(0.9 < x <= 1 + 1e-9 for x in per.values())
+
+
+def test_scores_are_those_of_the_model(spark, docs):
+    rows = [(r.doc_id, r.text, r.lang, "s") for r in docs.limit(40).collect()] + [(1000 + i, script_prose("ru", i), "ru", "s") for i in range(5)]
+    df, made = frame(spark, rows), {}
+    for lang in {x for *_, x, _ in rows}:
+        made[lang] = brute_kneser_ney([t for _, t, x, _ in rows if x == lang and words(t)], perplexity.ORDER)
+    want, n = {}, perplexity.ORDER
+    for i, t, lang, _ in rows:
+        if words(t):
+            s = "\n" * (n - 1) + " ".join(words(t)) + "\n"
+            own = Counter(s[k : k + n] for k in range(len(s) - n + 1))
+            want[i] = -sum(k * math.log(made[lang][n, g][3 if k >= made[lang][n, g][0] else 2]) for g, k in own.items()) / (len(s) - n + 1)
+    # all n-grams broadcast, some, and none: the rest is joined
+    for held in (1 << 20, 300, 0):
+        got = {r.doc_id: r.log_ppl for r in perplexity.perplexity_rules(df, held=held).collect()}
+        assert {i: x for i, x in got.items() if x is not None} == pytest.approx(want, abs=1e-5)
+
+
+def test_bands_reject_junk_of_every_script(spark):
+    """Shuffled characters and foreign text are rejected in each script, its prose is kept."""
+    rows, junk = [], set()
+    for k, lang in enumerate(SCRIPTS):
+        rows += [(100 * k + i, script_prose(lang, i), lang, "s") for i in range(50)]
+        mixed = list(script_prose(lang, 7))
+        random.Random(k).shuffle(mixed)
+        other = script_prose("zh" if lang != "zh" else "ru", 3)
+        rows += [(100 * k + 90, "".join(mixed), lang, "s"), (100 * k + 91, other, lang, "s")]
+        junk |= {100 * k + 90, 100 * k + 91}
+    got = {r.doc_id: r.kept for r in perplexity.perplexity_rules(frame(spark, rows)).collect()}
+    assert {i for i, x in got.items() if not x} == junk
 
 
 # op7
