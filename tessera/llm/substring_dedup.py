@@ -4,31 +4,43 @@ A byte goes if a string of WIDTH bytes that covers it also starts anywhere
 else.  Each window of WIDTH bytes has an anchor, the leftmost least hash of its
 GRAM-byte strings, so equal windows have equal anchors at equal offsets.
 Consecutive windows with one anchor form a run.  Only runs whose anchor string
-occurs elsewhere go on; equal runs are settled at once, and what differs in part
-is narrowed down in rounds: of a range of windows, the bytes that cover all of
-them repeat (then all windows do), or the bytes common to all of them don't
-(then none does), or the range is split.
-
-Sorting every suffix of the corpus, front-coded or not, would send each byte
-about WIDTH / 8 times; this sends one row for every 170 bytes.
+occurs elsewhere go on, and equal runs are settled at once.
+
+Of the other runs, the suffixes that start at their anchors, and the reversed
+prefixes that end there, are sorted over the whole corpus: tasks exchange
+front-coded sorted runs of them, and loser trees merge these without comparing a
+known prefix again (``suffix_merge``).  Two runs share the window that begins l
+bytes before the anchor if their prefixes share l bytes and their suffixes
+WIDTH - l.  So a neighbour in either order shows windows that repeat, and the
+longest prefix shared with a neighbour bounds those that can.  The few windows in
+between, which no neighbour shows and no bound excludes, are settled by digests.
+
+A suffix for every byte would send each byte about WIDTH / 8 times; anchors send
+one suffix and one prefix for every 170 bytes.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, arrow_map, bitmap, in_bitmap, join_groups, scratch_path, small_batches, written
+from .common import FILTER_BITS, arrow_map, bitmap, discard, hash_share, in_bitmap, join_groups, small_batches, written
+from .suffix_merge import common_prefix, front_code, merge, read_run
 
 WIDTH, GRAM = 400, 64
 #: Windows start at most this far before their anchor.
 REACH = WIDTH - GRAM
-#: Ranges of offsets shrink by this factor at every round: REACH + 1 = 337 <= 7 * 7 * 7.
-FAN = 7
+#: A task sorts so many runs at a time; a part of the order is to hold so many, of PARTS parts at most.
+SORTED, PART_ROWS, PARTS = 20_000, 20_000, 1024
+#: Splitters are drawn from so many sampled keys for each part.
+SAMPLED = 16
+#: Stands between the two sides of a key; no byte of UTF-8.
+SEPARATOR = b"\xff"
 
 
 def _text_key(raw: bytes) -> bytes:
@@ -75,13 +87,118 @@ def _cover(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _ranges(low: int, high: int, size: int) -> list[tuple[int, int, int]]:
-    """(number, first, last) of the aligned ranges of ``size`` offsets within low..high, both ends included."""
-    return [(i, i * size, min(REACH, (i + 1) * size - 1)) for i in range(low // size, high // size + 1)]
+def order_keys(raw: bytes, before: int) -> tuple[bytes, bytes]:
+    """Keys of a run's bytes, whose anchor stands at ``before``, in the orders of suffixes and of reversed prefixes.
+
+    Either side follows the other, so that equal sides are spread over the parts too.
+    """
+    left, right = raw[:before][::-1], raw[before:]
+    return right + SEPARATOR + left, left + SEPARATOR + right
+
+
+def shared_sides(order: int, a: bytes, b: bytes, known: int) -> tuple[int, int]:
+    """Lengths of the prefixes that two runs' reversed prefixes and suffixes share, from keys that share ``known`` bytes."""
+    x, y = a.index(SEPARATOR), b.index(SEPARATOR)
+    first = min(known, x, y)
+    second = known - x - 1 if x == y and known > x else common_prefix(a[x + 1 :], b[y + 1 :])
+    return (second, first) if order == 0 else (first, second)
+
+
+_SHOWN = "rid long, order int, best int, low array<int>, high array<int>, edge binary, at_end boolean"
+
+
+def neighbours(strings: DataFrame) -> DataFrame:
+    """(rid, left, right, shown): the longest prefix and suffix that a run shares with any other, and what its neighbours show.
+
+    ``strings`` has (rid, low, high, bytes) of distinct runs; ``shown`` lists
+    offsets from and to which windows repeat.  Splitters come from a sample of
+    bounded size, tasks exchange front-coded sorted runs, and the ends of the
+    parts, two strings each, meet on the driver.
+    """
+    spark = strings.sparkSession
+    total = strings.count()
+    parts = max(1, min(PARTS, -(-total // PART_ROWS)))
+    sample = strings.where(hash_share("rid") < min(1.0, SAMPLED * parts / max(total, 1))).select("high", "bytes").limit(2 * SAMPLED * parts).collect()
+    splitters = []
+    for order in (0, 1):
+        keys = sorted(order_keys(r["bytes"], r["high"])[order] for r in sample)
+        splitters.append([keys[len(keys) * i // parts] for i in range(1, parts)] if keys else [])
+    shared = spark.sparkContext.broadcast(splitters)
+
+    def sort_state():
+        held: list[tuple[bytes, int, int]] = []
+
+        def runs_of():
+            out = {"order": [], "part": [], "run": []}
+            for order in (0, 1):
+                keyed = sorted((order_keys(raw, before)[order], rid) for raw, before, rid in held)
+                keys = [k for k, _ in keyed]
+                edges = [0, *[bisect.bisect_left(keys, x) for x in shared.value[order]], len(keys)]
+                for part, (x, z) in enumerate(zip(edges, edges[1:], strict=False)):
+                    if x < z:
+                        out["order"].append(order)
+                        out["part"].append(part)
+                        out["run"].append(front_code(keys[x:z], [i for _, i in keyed[x:z]]))
+            held.clear()
+            return out
+
+        def each(b):
+            held.extend(zip(b["bytes"], b["high"], b["rid"], strict=True))
+            return runs_of() if len(held) >= SORTED else None
+
+        def finish():
+            if held:
+                yield runs_of()
+
+        each.finish = finish
+        return each
+
+    sent = arrow_map(strings.select("rid", "high", "bytes"), None, "order int, part int, run binary", sort_state)
+
+    def merged(t: pa.Table) -> pa.Table:
+        order, out = t["order"][0].as_py(), {x.split()[0]: [] for x in _SHOWN.split(", ")}
+        before = None  # the last string: key, rid, and what it and its predecessor share
+
+        def put(rid, sides, edge=None, at_end=None):
+            out["rid"].append(rid)
+            out["order"].append(order)
+            out["best"].append(max((s[1 - order] for s in sides), default=0))
+            out["low"].append([WIDTH - right for _, right in sides])
+            out["high"].append([left for left, _ in sides])
+            out["edge"].append(edge)
+            out["at_end"].append(at_end)
+
+        for key, rid, known in merge([read_run(x.as_py()) for x in t["run"]]):
+            if before is None:
+                put(rid, [], key, False)
+                sides = []
+            else:
+                sides = [shared_sides(order, before[0], key, known)]
+                put(before[1], before[2] + sides)
+            before = (key, rid, sides)
+        put(before[1], before[2])
+        put(before[1], [], before[0], True)
+        types = {"rid": pa.int64(), "order": pa.int32(), "best": pa.int32(), "low": pa.list_(pa.int32()), "high": pa.list_(pa.int32()), "edge": pa.binary(), "at_end": pa.bool_()}
+        return pa.table({c: pa.array(out[c], types[c]) for c in out})
+
+    shown = written(sent.groupBy("order", "part").applyInArrow(merged, _SHOWN), "repeat-shown")
+    stitched = []
+    for order in (0, 1):
+        ends = sorted((bytes(r["edge"]), r["at_end"], r["rid"]) for r in shown.where((F.col("order") == order) & F.col("edge").isNotNull()).collect())
+        for (a, _, i), (b, _, j) in zip(ends, ends[1:], strict=False):
+            if i != j:  # the last of a part and the first of the next, or the only two of a part
+                left, right = shared_sides(order, a, b, common_prefix(a, b))
+                stitched += [(x, order, (left, right)[1 - order], [WIDTH - right], [left]) for x in (i, j)]
+    more = spark.createDataFrame(stitched, "rid long, order int, best int, low array<int>, high array<int>")
+    shown = shown.where("edge IS NULL").select("rid", "order", "best", "low", "high").unionByName(more)
+    return shown.groupBy("rid").agg(
+        F.max(F.when(F.col("order") == 1, F.col("best"))).alias("left"), F.max(F.when(F.col("order") == 0, F.col("best"))).alias("right"),
+        F.flatten(F.collect_list(F.arrays_zip("low", "high"))).alias("shown"),
+    )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(text_key, start, end): spans of bytes to remove, half-open, for each distinct text; they may overlap.
+    """(text_key, spans): (start, end) of bytes to remove, half-open, for each distinct text that has any; they may overlap.
 
     ``text_key`` is the BLAKE2b-128 digest of the text's bytes.
     """
@@ -157,70 +274,72 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     picked = arrow_map(texts, None, "dk binary, raw binary", pick_state).dropDuplicates(["dk"])
     asked = open_.groupBy("dk").agg(F.collect_list(F.struct("rid", "kh", "at", "lo", "hi", "settled")).alias("asked"))
 
-    def strings(b):
-        out = {"dk": b["dk"], "items": []}
-        for raw, asked in zip(b["raw"], b["asked"], strict=True):
-            out["items"].append([
-                {"rid": q["rid"], "kh": q["kh"], "low": q["at"] - q["hi"], "high": q["at"] - q["lo"], "settled": q["settled"], "bytes": raw[q["lo"] : q["hi"] + WIDTH]} for q in asked
-            ])
+    def strings_of(b):
+        out = {k: [] for k in ("rid", "kh", "dk", "at", "low", "high", "settled", "bytes")}
+        for dk, raw, asked in zip(b["dk"], b["raw"], b["asked"], strict=True):
+            for q in asked:
+                for k in ("rid", "kh", "at", "settled"):
+                    out[k].append(q[k])
+                out["dk"].append(dk)
+                out["low"].append(q["at"] - q["hi"])
+                out["high"].append(q["at"] - q["lo"])
+                out["bytes"].append(raw[q["lo"] : q["hi"] + WIDTH])
         return out
 
-    # Bucketed by text: the rounds join what is still open to the strings where they lie and never move them again.
-    held = arrow_map(picked.join(asked.hint("merge"), "dk").select("dk", "raw", "asked"), strings, "dk binary, items array<struct<rid:long,kh:long,low:int,high:int,settled:boolean,bytes:binary>>")
-    name = f"tessera_repeats_{uuid.uuid4().hex[:12]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held.write.format("parquet").option("path", scratch_path(spark, "repeat-strings")).bucketBy(buckets, "dk").sortBy("dk").saveAsTable(name)
-    held = spark.table(name)
-
-    found: list[DataFrame] = []
-    alive, size = None, (REACH + 1 + FAN - 1) // FAN
-    while True:
-        source = held if alive is None else held.join(alive.hint("merge"), "dk")
-
-        def ask(b, size=size, first=alive is None):
-            out = {k: [] for k in ("dk", "rid", "range", "all", "common", "settled")}
-            for i, dk in enumerate(b["dk"]):
-                parents = None if first else {x["rid"]: set(x["ranges"]) for x in b["open"][i]}
-                for q in b["items"][i]:
-                    if parents is not None and q["rid"] not in parents:
-                        continue
-                    low, high, raw = q["low"], q["high"], q["bytes"]
-                    salt = q["kh"].to_bytes(8, "big", signed=True)
-                    for k, x, z in _ranges(low, high, size):
-                        if parents is not None and k // FAN not in parents[q["rid"]]:
-                            continue
-                        # offset l is the window that starts l bytes before the anchor, which stands at ``high``
-                        person = k.to_bytes(4, "big") + size.to_bytes(4, "big")
-                        inside = low <= x and z <= high
-                        out["all"].append(hashlib.blake2b(raw[high - z : high - x + WIDTH], digest_size=16, salt=salt, person=person).digest() if inside else None)
-                        out["common"].append(int.from_bytes(hashlib.blake2b(raw[high - x : high - z + WIDTH], digest_size=8, salt=salt, person=person).digest(), "big", signed=True) if size > 1 else 0)
-                        out["dk"].append(dk)
-                        out["rid"].append(q["rid"])
-                        out["range"].append(k)
-                        out["settled"].append(q["settled"])
+    strings = arrow_map(picked.join(asked.hint("merge"), "dk").select("dk", "raw", "asked"), strings_of, "rid long, kh long, dk binary, at int, low int, high int, settled boolean, bytes binary")
+    strings = written(strings, "repeat-strings")
+    found = neighbours(strings)
+
+    def judge(b):
+        """Offsets of windows that repeat, that may, and of the latter those that nothing has shown yet."""
+        out = {k: [] for k in ("least", "most", "shown", "unknown")}
+        for low, high, left, right, shown in zip(b["low"], b["high"], b["left"], b["right"], b["shown"], strict=True):
+            least, most = max(low, WIDTH - right), min(high, left)
+            cover = _cover([(max(low, x["low"]), min(high, x["high"]) + 1) for x in shown if max(low, x["low"]) <= min(high, x["high"])])
+            gaps, at = [], least
+            for x, z in cover:
+                if at < x:
+                    gaps.append((at, x))
+                at = max(at, z)
+            if at <= most:
+                gaps.append((at, most + 1))
+            out["least"].append(least)
+            out["most"].append(most)
+            out["shown"].append([{"x": x, "z": z - 1} for x, z in cover])
+            out["unknown"].append([{"x": x, "z": z - 1} for x, z in gaps])
+        return {k: b[k] for k in ("rid", "kh", "dk", "at", "settled")} | out
+
+    spans_ = "array<struct<x:int,z:int>>"
+    judged = strings.select("rid", "kh", "dk", "at", "low", "high", "settled").join(found, "rid")
+    judged = written(arrow_map(judged, judge, f"rid long, kh long, dk binary, at int, settled boolean, least int, most int, shown {spans_}, unknown {spans_}"), "repeat-judged")
+    here = judged.where("NOT settled")
+    partly = here.select("dk", "at", F.explode("shown").alias("s")).select("dk", "at", "s.x", "s.z")
+
+    # windows that no neighbour shows and no bound excludes: all windows of their anchors that may repeat are compared by digest
+    open_kinds = here.where("size(unknown) > 0").select("kh").distinct().join(kinds, "kh")
+    open_kinds = written(open_kinds, "repeat-unknown")
+    if not open_kinds.isEmpty():
+        some = join_groups(judged.where("least <= most"), open_kinds, "kh", "kinds", "inner").select("rid", "least", "most", "unknown", F.col("settled").alias("known"))
+
+        def windows(b):
+            out = {k: [] for k in ("window", "rid", "offset", "wanted")}
+            for rid, high, raw, least, most, known, unknown in zip(b["rid"], b["high"], b["bytes"], b["least"], b["most"], b["known"], b["unknown"], strict=True):
+                for l in range(least, most + 1):
+                    out["window"].append(hashlib.blake2b(raw[high - l : high - l + WIDTH], digest_size=16, salt=l.to_bytes(8, "big")).digest())
+                    out["rid"].append(rid)
+                    out["offset"].append(l)
+                    out["wanted"].append(not known and any(u["x"] <= l <= u["z"] for u in unknown))
             return out
 
-        asked_ = written(arrow_map(source, ask, "dk binary, rid long, range int, all binary, common long, settled boolean"), "repeat-asked")
-        # a string that two different runs hold; runs of equal kind are here once
-        twice = written(asked_.where("all IS NOT NULL").groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.max((~F.col("settled")).cast("int")).alias("wanted")).where("n > 1 AND wanted = 1").select("all", "n"), "repeat-twice")
-        hits = written(join_groups(asked_.where("all IS NOT NULL AND NOT settled").select("all", "rid", "range"), twice, "all", "n", "inner").select("rid", "range"), "repeat-hits")
-        found.append(hits.select("rid", (F.col("range") * size).alias("x"), F.least(F.lit(REACH), (F.col("range") + 1) * size - 1).alias("z")))
-        if size == 1:
-            break
-        # ranges go on if a run that is still open shares their common bytes with another run
-        left = asked_.join(hits.withColumn("hit", F.lit(True)), ["rid", "range"], "left").withColumn("needs", ~F.col("settled") & F.col("hit").isNull())
-        left = written(left.select("dk", "rid", "range", "common", "needs"), "repeat-left")
-        shared = written(left.groupBy("common").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("needs").cast("int")).alias("wanted")).where("n > 1 AND wanted = 1").select("common", "n"), "repeat-shared")
-        alive = join_groups(left.select("common", "dk", "rid", "range"), shared, "common", "n", "inner").groupBy("dk", "rid").agg(F.collect_set("range").alias("ranges"))
-        alive = written(alive.groupBy("dk").agg(F.collect_list(F.struct("rid", "ranges")).alias("open")), "repeat-alive")
-        size = size // FAN if size > FAN else 1
-
-    spark.sql(f"DROP TABLE {name}")  # the name; its files stay in the scratch folder
-    spans = found[0]
-    for f in found[1:]:
-        spans = spans.unionByName(f)
-    partly = spans.join(open_.select("rid", "dk", "at"), "rid").select("dk", (F.col("at") - F.col("z")).alias("start"), (F.col("at") - F.col("x") + WIDTH).alias("end"))
-    return whole.select("dk", F.col("lo").alias("start"), (F.col("hi") + WIDTH).alias("end")).unionByName(partly).withColumnRenamed("dk", "text_key")
+        seen = written(arrow_map(strings.select("rid", "high", "bytes").join(some, "rid"), windows, "window binary, rid long, offset int, wanted boolean"), "repeat-windows")
+        twice = seen.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.max("wanted").alias("asked")).where("n > 1 AND asked").select("window", "n")
+        hits = join_groups(seen.where("wanted"), written(twice, "repeat-twice"), "window", "n", "inner").select("rid", F.col("offset").alias("x"), F.col("offset").alias("z"))
+        partly = partly.unionByName(hits.join(here.select("rid", "dk", "at"), "rid").select("dk", "at", "x", "z"))
+    partly = partly.select("dk", (F.col("at") - F.col("z")).alias("start"), (F.col("at") - F.col("x") + WIDTH).alias("end"))
+    out = whole.select("dk", F.col("lo").alias("start"), (F.col("hi") + WIDTH).alias("end")).unionByName(partly).withColumnRenamed("dk", "text_key")
+    out = written(out.groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeat-spans")
+    discard(rows, same, kinds, open_, strings, judged, open_kinds)
+    return out
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean"
@@ -236,8 +355,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     or more are removed entirely in all rows, also where rows repeat an id.
     """
     spark = docs.sparkSession
-    spans = repeated_spans(docs).groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = written(spans, "repeat-spans")
+    spans = repeated_spans(docs)
     bits = spark.sparkContext.broadcast(bitmap(spans, "text_key"))
     names = (("kept_sha256",) if digests else ("spans", "kept")) + ("changed",)
     schema = RESULT if digests else CLEANED

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, components, exact_dedup, language_id, minhash, mixing, perplexity, quality, substring_dedup, toxicity, url_filter
+from tessera.llm import bpe, components, exact_dedup, language_id, minhash, mixing, perplexity, quality, substring_dedup, suffix_merge, toxicity, url_filter
 from tessera.llm.common import bitmap, in_bitmap, join_groups
 
 from ..conftest import SF, same_rows
@@ -456,6 +456,40 @@ def test_repeated_strings(spark, odd, empty):
     assert full.kept == b"" and [(s.start, s.end) for s in full.spans] == [(0, full.n_bytes)]
 
 
+def test_repeats_across_parts_and_between_neighbours(spark, monkeypatch):
+    """Passages that start, end and overlap at random places, many in one family, sorted in many small runs and parts."""
+    r, stock = random.Random(17), prose(90, 500)
+    rows = []
+    for i in range(60):
+        pieces = [prose(1000 + i, r.randint(5, 60))]
+        for _ in range(r.randint(1, 3)):
+            a = r.randrange(len(stock) - 500)
+            pieces += [stock[a : a + r.randint(300, 900)], prose(2000 + 7 * i + r.randint(0, 6), r.randint(0, 40))]
+        rows.append((i, "".join(pieces), "en", "s"))
+    rows += [(100, stock[100:1300], "en", "s"), (101, None, "en", "s"), (102, "\0" * 1200, "en", "s"), (103, "x" + "\0" * 700, "en", "s")]
+    want = sorted((i, *w) for (i, *_), w in zip(rows, brute_repeats([(t or "").encode() for _, t, *_ in rows]), strict=True))
+    for sorted_, part in ((20_000, 20_000), (7, 5)):
+        monkeypatch.setattr(substring_dedup, "SORTED", sorted_)
+        monkeypatch.setattr(substring_dedup, "PART_ROWS", part)
+        got = substring_dedup.remove_repeats(frame(spark, rows), digests=True).collect()
+        assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+        assert all(x.changed == (x.n_removed > 0) for x in got)
+
+
+def test_merging_never_compares_a_known_prefix(monkeypatch):
+    """Front-coded runs come back whole, merge in order, and the lengths of shared prefixes are exact."""
+    r, compared = random.Random(3), []
+    plain = suffix_merge.common_prefix
+    monkeypatch.setattr(suffix_merge, "common_prefix", lambda a, b, start=0: compared.append((a[:start] == b[:start], plain(a, b, start) - start)) or plain(a, b, start))
+    for _ in range(80):
+        keys = [[bytes(r.choice(b"ab") for _ in range(r.randint(1, r.choice([3, 90, 200])))) for _ in range(r.randint(1, 25))] for _ in range(r.randint(0, 9))]
+        made = [suffix_merge.front_code(sorted(ks), [i * 1000 + j for j in range(len(ks))]) for i, ks in enumerate(keys)]
+        got = list(suffix_merge.merge([suffix_merge.read_run(b) for b in made]))
+        assert [k for k, *_ in got] == sorted(k for ks in keys for k in ks) and len({i for _, i, _ in got}) == len(got)
+        assert all(n == plain(x[0], k) for x, (k, _, n) in zip(got, got[1:], strict=False))
+    assert all(known for known, _ in compared)
+
+
 # op9
 
 
