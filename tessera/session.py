@@ -28,6 +28,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -210,14 +211,72 @@ class Engine:
             raise AccessDenied(f"table {name} is not allowed")
 
     def _check_sql(self, sql: str) -> None:
-        """Every relation that the parsed plan names must be allowed; what can't be parsed is checked by name."""
+        """Every relation that the parsed statement names must be allowed; what can't be parsed is denied.
+
+        Statements that only this engine knows are parsed in their parts: the
+        names they carry are checked, and their inner queries are parsed.
+        """
         if self.allowed is None:
             return
-        names = re.findall(r"(?i)\b(?:from|join|into|update|table)\s+([a-z_]\w*)", sql)
-        ctes = {n.lower() for n in re.findall(r"(?i)(?:\bwith(?:\s+recursive)?|,)\s+(\w+)\s+as\s*\(", sql)}
-        for n in names:
-            if n.lower() not in ctes | {"select", "values", "lateral", "table"}:
-                self._check(n)
+        handler, m = next(((h, m) for p, h in _HANDLERS if (m := p.match(sql))), (None, None))
+        if handler in ("_execute", "_deallocate"):  # checked when it was prepared
+            for a in dialect.split_arguments(m["a"] or "") if handler == "_execute" else ():
+                self._check_parsed(f"SELECT {a}")
+            return
+        if handler in _OWN:
+            names, bodies = _OWN[handler]
+            for n in names:
+                self._check(m[n])
+            for q in bodies:
+                text = m[q].strip()
+                if re.fullmatch(r"\w+", text):
+                    self._check(text)
+                else:
+                    self._check_parsed(text[1:-1] if text.startswith("(") and text.endswith(")") else text)
+            return
+        if handler == "_call":
+            self._check(dialect.split_arguments(m["a"])[0].split("=>")[-1].strip().strip("'"))
+            return
+        self._check_parsed(sql)
+
+    def _check_parsed(self, sql: str) -> None:
+        try:
+            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(dialect.rewrite(dialect.rewrite_parameters(sql)))
+        except Exception as e:
+            raise AccessDenied("a statement that can't be parsed is not allowed under a policy") from e
+        self._check_plan(plan, frozenset())
+
+    def _check_plan(self, node, known: frozenset) -> None:
+        """Walk a parsed plan, its expressions and their subqueries; ``known`` are the common table expressions in scope."""
+        if not hasattr(node, "getClass"):
+            return  # a number, text or truth value
+        kind = node.getClass().getSimpleName()
+        if kind in ("UnresolvedRelation", "UnresolvedTable", "UnresolvedView", "UnresolvedTableOrView", "UnresolvedIdentifier"):
+            parts = node.multipartIdentifier() if kind != "UnresolvedIdentifier" else node.nameParts()
+            name = ".".join(parts.apply(i) for i in range(parts.size()))
+            if not (parts.size() == 1 and name.lower() in known):
+                self._check(name)
+            return
+        if kind in ("PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier", "ExecuteImmediateQuery", "UnresolvedExecuteImmediate", "ExecuteImmediateCommand"):
+            raise AccessDenied("names made at run time are not allowed under a policy")
+        if kind == "UnresolvedWith":
+            recursive = node.allowRecursion()
+            relations = node.cteRelations()
+            for i in range(relations.size()):
+                pair = relations.apply(i)
+                self._check_plan(pair._2(), known | {pair._1().lower()} if recursive else known)
+                known = known | {pair._1().lower()}
+            self._check_plan(node.child(), known)
+            return
+        jvm = self.spark._jvm
+        if _is(jvm, "scala.collection.Iterable", node):
+            it = node.iterator()
+        elif _is(jvm, "scala.Product", node):
+            it = node.productIterator()
+        else:
+            return
+        while it.hasNext():
+            self._check_plan(it.next(), known)
 
     # AS OF and lake tables
     def _lake_views(self, sql: str) -> str:
@@ -543,6 +602,28 @@ def sqlstate(error: BaseException) -> str:
     return {AccessDenied: "42501", TimeoutError: "57014", ValueError: "22023"}.get(type(error), "HY000")
 
 
+def _is(jvm, name: str, value) -> bool:
+    return bool(jvm.java.lang.Class.forName(name, True, jvm.java.lang.Thread.currentThread().getContextClassLoader()).isInstance(value))
+
+
+#: Of statements that Spark's parser doesn't know: which groups are table names, and which are queries or table names.
+_OWN: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "_prepare": ((), ("q",)),
+    "_create_external": (("n",), ()),
+    "_create_table_as": (("n",), ("q",)),
+    "_copy": ((), ("q",)),
+    "_incremental_view": (("n",), ("q",)),
+    "_refresh_view": (("n",), ()),
+    "_drop_view": (("n",), ()),
+    "_live_table": (("n",), ("q",)),
+    "_refresh_live": (("n",), ()),
+    "_drop_live": (("n",), ()),
+    "_connector": (("n",), ()),
+    "_start_pipeline": (("n",), ()),
+    "_match_recognize": (("t",), ()),
+}
+
+
 def _re(pattern: str) -> re.Pattern:
     return re.compile(r"(?is)^\s*" + pattern + r"\s*$")
 
@@ -563,7 +644,6 @@ _HANDLERS: list[tuple[re.Pattern, str]] = [
     (_re(r"ANALYZE\s+TABLE\s+(?P<n>\w+)(?:\s+COMPUTE\s+STATISTICS.*)?"), "_analyze"),
     (_re(r"CALL\s+system\.(?P<f>\w+)\s*\((?P<a>.*)\)"), "_call"),
     (_re(r"CREATE\s+(?P<r>OR\s+REPLACE\s+)?(?:MATERIALIZED\s+)?(?:INCREMENTAL\s+|MATERIALIZED\s+)VIEW\s+(?P<n>\w+)\s+AS\s+(?P<q>.+)"), "_incremental_view"),
-    (_re(r"CREATE\s+(?P<r>OR\s+REPLACE\s+)?MATERIALIZED\s+VIEW\s+(?P<n>\w+)\s+AS\s+(?P<q>.+)"), "_incremental_view"),
     (_re(r"DECLARE\s+RECURSIVE\s+VIEW\s+(?P<n>\w+)\s+AS\s+(?P<q>.+)"), "_recursive_view"),
     (_re(r"REFRESH\s+(?:MATERIALIZED\s+|INCREMENTAL\s+)+VIEW\s+(?P<n>\w+)"), "_refresh_view"),
     (_re(r"DROP\s+(?:MATERIALIZED\s+|INCREMENTAL\s+)+VIEW\s+(?:IF\s+EXISTS\s+)?(?P<n>\w+)"), "_drop_view"),

@@ -21,6 +21,10 @@ from tessera.storage import delete_path, filesystem, path_exists, read_text, wri
 from .files import check_evolution
 
 
+#: What compaction makes files of.
+TARGET_BYTES = 256 << 20
+
+
 class ConcurrentCommit(RuntimeError):
     """Another writer committed first; read again and retry."""
 
@@ -61,7 +65,8 @@ class VersionedTable:
         last = self.current_version()
         if base is not None and base != last:
             raise ConcurrentCommit(f"version {last} came after {base}")
-        entry = {"version": last + 1, "time": time.time(), "operation": operation, "schema": schema.json(), "folders": folders} | details
+        kept = self._entry().get("partitions", []) if last >= 0 else []
+        entry = {"version": last + 1, "time": time.time(), "operation": operation, "schema": schema.json(), "folders": folders, "partitions": kept} | details
         try:
             write_text(self.spark, self._log(last + 1), json.dumps(entry))
         except Exception as e:
@@ -70,8 +75,13 @@ class VersionedTable:
             raise
         return last + 1
 
-    def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
+    def partitions(self) -> list[str]:
+        """The columns by which the table's rows lie in folders; rewrites keep to them."""
+        return self._entry().get("partitions", []) if self.exists() else []
+
+    def _write(self, df: DataFrame, partition_by: Sequence[str] | None = None) -> str:
         name = f"data/{uuid.uuid4().hex}"
+        partition_by = [c for c in (self.partitions() if partition_by is None else partition_by) if c in df.columns]
         w = df.write
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.path}/{name}")
         return name
@@ -85,20 +95,16 @@ class VersionedTable:
         if not e["folders"]:
             return self.spark.createDataFrame([], schema)
         # each folder is read on its own: partition columns differ between writes
-        out = None
-        for folder in e["folders"]:
-            part = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").select(*[F.col(f"`{f.name}`") for f in schema])
-            out = part if out is None else out.unionByName(part)
-        return out
+        return self._folders(e["folders"], schema)
 
     def exists(self) -> bool:
         return self.current_version() >= 0
 
     # writing
-    def append(self, df: DataFrame, evolution: str = "strict", partition_by: Sequence[str] = ()) -> int:
+    def append(self, df: DataFrame, evolution: str = "strict", partition_by: Sequence[str] | None = None) -> int:
         base = self.current_version()
         if base < 0:
-            return self._commit([self._write(df, partition_by)], df.schema, "append", base)
+            return self._commit([self._write(df, partition_by or [])], df.schema, "append", base, partitions=list(partition_by or []))
         e = self._entry()
         old = T.StructType.fromJson(json.loads(e["schema"]))
         check_evolution(_loose(old), _loose(df.schema), evolution)
@@ -106,30 +112,58 @@ class VersionedTable:
         merged = T.StructType([*old.fields, *[f for f in df.schema if f.name not in names]])
         return self._commit([*e["folders"], self._write(df, partition_by)], merged, "append", base)
 
-    def overwrite(self, df: DataFrame, partition_by: Sequence[str] = (), where: str | None = None) -> int:
+    def overwrite(self, df: DataFrame, partition_by: Sequence[str] | None = None, where: str | None = None) -> int:
         """All rows, or with ``where`` only those that satisfy it."""
         base = self.current_version()
         if where is not None and base >= 0:
             df = self.read().where(f"NOT coalesce(({where}), false)").unionByName(df)
-        return self._commit([self._write(df, partition_by)], df.schema, "overwrite", base)
+        kept = self.partitions() if partition_by is None else list(partition_by)
+        return self._commit([self._write(df, kept)], df.schema, "overwrite", base, partitions=kept)
+
+    def _hits(self, hit: Column) -> tuple[list[str], list[str], int]:
+        """Folders with a row for which ``hit`` holds, the others, and how many such rows there are.
+
+        Rewrites touch only the former.  The folders are counted in one pass.
+        """
+        folders, now = self._entry()["folders"], self.read()
+        if len(folders) < 2:
+            n = now.where(hit).count()
+            return (folders if n else []), ([] if n else folders), n
+        rows = None
+        for i, f in enumerate(folders):
+            part = self._folder(f, now.schema).where(hit).select(F.lit(i).alias("i"))
+            rows = part if rows is None else rows.unionByName(part)
+        found = {r["i"]: r["count"] for r in rows.groupBy("i").count().collect()}
+        return [f for i, f in enumerate(folders) if i in found], [f for i, f in enumerate(folders) if i not in found], sum(found.values())
+
+    def _folder(self, folder: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").select(*[F.col(f"`{f.name}`") for f in schema])
+
+    def _folders(self, folders: list[str], schema: T.StructType) -> DataFrame:
+        out = None
+        for f in folders:
+            part = self._folder(f, schema)
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def delete(self, where: str) -> int:
         """Rows for which the condition is true go; returns how many."""
-        base, now = self.current_version(), self.read()
+        base, schema = self.current_version(), self.read().schema
         hit = F.coalesce(F.expr(where), F.lit(False))
-        n = now.where(hit).count()
+        touched, others, n = self._hits(hit)
         if n:
-            self._commit([self._write(now.where(~hit))], now.schema, "delete", base, rows=n)
+            self._commit([*others, self._write(self._folders(touched, schema).where(~hit))], schema, "delete", base, rows=n)
         return n
 
     def update(self, assignments: dict[str, str | Column], where: str | None = None) -> int:
         """Returns the number of rows changed."""
-        base, now = self.current_version(), self.read()
+        base, schema = self.current_version(), self.read().schema
         hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-        n = now.where(hit).count()
+        touched, others, n = self._hits(hit)
         if n:
+            now = self._folders(touched, schema)
             new = now.select(*[F.when(hit, (F.expr(a) if isinstance(a := assignments[c], str) else a).cast(t)).otherwise(F.col(f"`{c}`")).alias(c) if c in assignments else F.col(f"`{c}`") for c, t in now.dtypes])
-            self._commit([self._write(new)], now.schema, "update", base, rows=n)
+            self._commit([*others, self._write(new)], schema, "update", base, rows=n)
         return n
 
     def merge(self, source: DataFrame, on: Sequence[str], matched: dict[str, str] | str | None = "all", not_matched: dict[str, str] | str | None = "all", delete_when: str | None = None) -> dict[str, int]:
@@ -174,9 +208,7 @@ class VersionedTable:
         """The last change of each key wins; rows whose ``deleted`` column is true go."""
         if not self.key:
             raise ValueError("upserts need a table with a key")
-        body = F.struct(F.col(order), F.struct(*[F.col(c) for c in changes.columns]).alias("__row"))
         last = changes.groupBy(*self.key).agg(F.max_by(F.struct(*[F.col(c) for c in changes.columns]), F.col(order)).alias("__row")).select("__row.*")
-        del body
         if deleted:
             gone = last.where(F.coalesce(F.col(deleted), F.lit(False)))
             base = self.current_version()
@@ -224,9 +256,22 @@ class VersionedTable:
         write_text(self.spark, f"{self.path}/_refs.json", json.dumps(refs), overwrite=True)
 
     # maintenance
-    def compact(self, files: int = 1) -> int:
-        now = self.read()
-        return self._commit([self._write(now.coalesce(files))], now.schema, "compact")
+    def compact(self, files: int | None = None, target_bytes: int = TARGET_BYTES) -> int:
+        """Rewrite into files of about ``target_bytes``, or into ``files`` of them; each partition has files of its own."""
+        now, parts = self.read(), self.partitions()
+        if files is None:
+            files = max(1, -(-self.size() // target_bytes))
+        # partitions share the tasks by a hash of their columns and of the row, so that a large one is dealt to several
+        rows = now.repartition(files, *[F.col(f"`{c}`") for c in parts], F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in now.columns if c not in parts]), F.lit(files))) if parts else now.repartition(files) if files > now.rdd.getNumPartitions() else now.coalesce(files)
+        return self._commit([self._write(rows)], now.schema, "compact")
+
+    def size(self) -> int:
+        """Bytes of the current version's files."""
+        total = 0
+        for f in self._entry()["folders"]:
+            fs, p = filesystem(self.spark, f"{self.path}/{f}")
+            total += fs.getContentSummary(p).getLength()
+        return total
 
     def expire(self, keep: int = 1) -> list[int]:
         """Forget all but the last ``keep`` versions and those with a name; their folders stay until orphans are removed."""

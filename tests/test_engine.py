@@ -153,3 +153,55 @@ def test_pipelines(spark, tmp_path):
     for _ in range(2):
         assert memo.get("q", lambda: calls.append(1) or spark.range(3)).count() == 3
     assert len(calls) == 1
+
+
+def test_policy_is_checked_on_the_parsed_plan(spark):
+    e = Engine(spark, allowed=["pub", "copy", "view_of_pub"])
+    spark.range(5).createOrReplaceTempView("pub")
+    spark.range(3).createOrReplaceTempView("secret")
+    assert e.sql("SELECT * FROM pub p JOIN pub q USING (id)").count() == 5
+    assert e.sql("WITH w AS (SELECT * FROM pub), v AS (SELECT * FROM w) SELECT * FROM v, pub").count() == 25
+    assert e.sql("EXPLAIN SELECT * FROM pub").count() == 1
+    e.sql("CREATE TABLE copy AS SELECT * FROM pub; DELETE FROM copy WHERE id > 2; PREPARE p AS SELECT * FROM pub WHERE id = $1")
+    assert e.sql("EXECUTE p(3)").count() == 1
+    for text in (
+        "SELECT s.id FROM pub p, secret s", "SELECT * FROM `secret`", "SELECT * FROM default.secret", "SELECT (SELECT max(id) FROM secret) FROM pub", "SELECT * FROM pub WHERE EXISTS (SELECT 1 FROM secret)",
+        "EXPLAIN SELECT * FROM secret", "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "WITH w AS (SELECT * FROM secret) SELECT * FROM w", "TABLE secret", "INSERT INTO copy SELECT * FROM secret",
+        "DELETE FROM copy WHERE id IN (SELECT id FROM secret)", "UPDATE copy SET id = (SELECT max(id) FROM secret)", "MERGE INTO copy USING secret ON copy.id = secret.id WHEN MATCHED THEN DELETE",
+        "CREATE TABLE copy AS SELECT * FROM secret", "COPY secret TO '/tmp/x'", "COPY (SELECT * FROM secret) TO '/tmp/x'", "CREATE MATERIALIZED VIEW view_of_pub AS SELECT * FROM secret", "PREPARE q AS SELECT * FROM secret",
+        "EXECUTE p((SELECT max(id) FROM secret))", "EXECUTE IMMEDIATE 'SELECT * FROM secret'", "SELECT * FROM IDENTIFIER('sec' || 'ret')", "DESCRIBE secret", "DROP TABLE secret", "TRUNCATE TABLE secret", "not a statement",
+        "SELECT * FROM pub UNION ALL SELECT * FROM secret", "SELECT * FROM parquet.`/tmp/x`", "CALL system.maintain('secret')", "SELECT table_name FROM information_schema.tables",
+    ):
+        with pytest.raises(AccessDenied):
+            e.sql(text)
+    with pytest.raises(AccessDenied):
+        e.table("secret")
+
+
+def test_rewrites_touch_only_folders_with_hits(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.append(spark.range(100).selectExpr("id", "id % 3 AS k"), partition_by=["k"])
+    t.append(spark.range(100, 200).selectExpr("id", "id % 3 AS k"))
+    first, second = t.versions()[-1]["folders"]
+    assert t.delete("id < 10") == 10 and t.versions()[-1]["folders"][0] == second and first not in t.versions()[-1]["folders"]
+    assert t.update({"k": "k + 10"}, "id >= 190") == 10 and t.read().where("k >= 10").count() == 10
+    t.merge(spark.createDataFrame([(50, 7), (900, 8)], "id long, k long"), ["id"])
+    assert t.read().count() == 191 and t.read(version=1).count() == 200
+    # partitions outlive every kind of rewrite
+    for _ in range(2):
+        names = {p.name for f in t.versions()[-1]["folders"] for p in (tmp_path / "t" / f).iterdir()}
+        assert any(n.startswith("k=") for n in names) and t.partitions() == ["k"]
+        t.compact()
+    assert sorted(r.id for r in t.read().select("id").collect()) == sorted([*range(10, 200), 900])
+
+
+def test_compaction_makes_files_of_the_target_size(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    for _ in range(3):
+        t.append(spark.range(0, 20_000, numPartitions=5).selectExpr("id", "uuid() AS u"))
+    whole = t.size()
+    t.compact(target_bytes=whole // 4)
+    files = list((tmp_path / "t" / t.versions()[-1]["folders"][0]).glob("*.parquet"))
+    assert 3 <= len(files) <= 6 and t.read().count() == 60_000
+    t.compact()
+    assert len(list((tmp_path / "t" / t.versions()[-1]["folders"][0]).glob("*.parquet"))) == 1
