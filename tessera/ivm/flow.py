@@ -2,20 +2,24 @@
 
 A view whose SQL is one aggregate, one two-way join or one DISTINCT over its
 sources, with a WHERE, is maintained from deltas; any other SQL is run again over
-the changed sources and compared with its last result.  States and results are
-written to the shared folder at every tick, so plans don't grow with time.
+the changed sources and compared with its last result.  Sources, states and
+results are logs: a tick writes its delta to the shared folder, and FAN logs of
+one size become one of the next, so a row is rewritten a logarithmic number of
+times and plans stay short.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize, state_path
+from tessera.storage import materialize, path_exists, read_text, state_path, write_text
 
 from . import operators as op
 from .zset import WEIGHT, ZSet
@@ -25,6 +29,43 @@ class CycleLimitExceeded(RuntimeError):
     """A recursive view went on changing after its last allowed round."""
 
 
+#: So many parts of a log are put together.
+FAN = 4
+
+
+class Log:
+    """A table as the sum of written parts; ``put`` adds a part, ``merge`` says how parts are put together."""
+
+    def __init__(self, merge: Callable[[DataFrame], DataFrame]):
+        self.merge, self.parts = merge, []  # (level, table)
+
+    def put(self, df: DataFrame, name: str, level: int = 0) -> DataFrame:
+        """Write a part; returns it."""
+        part = materialize(df, name)
+        self.parts.append((level, part))
+        while len(self.parts) >= FAN and len({level for level, _ in self.parts[-FAN:]}) == 1:
+            last = self.parts[-FAN:]
+            whole = reduce(lambda a, b: a.unionByName(b), [p for _, p in last])
+            self.parts[-FAN:] = [(last[0][0] + 1, materialize(self.merge(whole), name))]
+        return part
+
+    def rows(self) -> DataFrame | None:
+        """All parts: what stands in several of them is to be added up."""
+        return reduce(lambda a, b: a.unionByName(b), [p for _, p in self.parts]) if self.parts else None
+
+    @classmethod
+    def of(cls, merge: Callable[[DataFrame], DataFrame], df: DataFrame | None) -> Log:
+        """A log that begins with a table that is written already."""
+        log = cls(merge)
+        if df is not None:
+            log.parts.append((1 << 30, df))
+        return log
+
+
+def _weights(df: DataFrame) -> DataFrame:
+    return ZSet(df).consolidate().df
+
+
 @dataclass
 class View:
     name: str
@@ -32,10 +73,16 @@ class View:
     sources: list[str]
     plan: tuple
     lateness: tuple[str, int] | None = None
-    states: dict[str, ZSet | None] = field(default_factory=dict)
-    result: ZSet | None = None
+    state: Log | None = None
+    results: Log = field(default_factory=lambda: Log(_weights))
     delta: ZSet | None = None
 
+    @property
+    def result(self) -> ZSet | None:
+        """The view's rows; those of several ticks are to be added up."""
+        rows = self.results.rows()
+        return None if rows is None else ZSet(rows)
+
 
 _AGG = re.compile(r"^\s*select\s+(?P<list>.+?)\s+from\s+(?P<t>\w+)(?:\s+where\s+(?P<where>.+?))?\s+group\s+by\s+(?P<keys>[\w\s,]+?)\s*;?\s*$", re.I | re.S)
 _DISTINCT = re.compile(r"^\s*select\s+distinct\s+(?P<list>[\w\s,]+?)\s+from\s+(?P<t>\w+)(?:\s+where\s+(?P<where>.+?))?\s*;?\s*$", re.I | re.S)
@@ -81,7 +128,7 @@ class IncrementalFlow:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.sources: dict[str, ZSet | None] = {}
+        self.sources: dict[str, Log] = {}
         self.schemas: dict[str, list[str]] = {}
         self.views: dict[str, View] = {}
         self.pending: dict[str, list[ZSet]] = {}
@@ -94,7 +141,7 @@ class IncrementalFlow:
     def register_source(self, name: str, like: DataFrame, lateness: tuple[str, int] | None = None) -> None:
         """``lateness`` (column, allowed): rows older than the greatest value seen less ``allowed`` are dropped."""
         empty = like.where(F.lit(False)).withColumn(WEIGHT, F.lit(1).cast("long"))
-        self.sources[name] = ZSet(empty)
+        self.sources[name] = Log.of(_weights, empty)
         if lateness:
             self.late[name] = lateness
 
@@ -150,31 +197,27 @@ class IncrementalFlow:
 
     def feed_snapshot(self, source: str, snapshot: DataFrame) -> None:
         """All rows that the source has now; the difference from what is stored is fed."""
-        now = self.sources[source].expanded()
+        now = self.snapshot(source)
         self.feed(source, ZSet.differentiate(now, snapshot.select(*now.columns)))
 
     # ticking
     def step(self) -> dict[str, DataFrame]:
         """Apply all that was fed; returns each changed view's delta."""
+        before = {name: ZSet(log.rows()) for name, log in self.sources.items()}
         deltas: dict[str, ZSet] = {}
         for source, parts in self.pending.items():
             z = parts[0]
             for p in parts[1:]:
                 z = z.concat(p)
-            deltas[source] = ZSet(materialize(z.consolidate().df, f"delta-{source}"))
-        before = dict(self.sources)
-        for source, d in deltas.items():
-            self.sources[source] = ZSet(materialize(d.integrate(self.sources[source]).df, f"source-{source}"))
+            deltas[source] = ZSet(self.sources[source].put(z.consolidate().df, f"source-{source}"))
         self.pending = {}
         out: dict[str, DataFrame] = {}
         for view in self.topological():
             view.delta = None
             if not any(s in deltas for s in view.sources):
                 continue
-            delta = self._advance(view, deltas, before)
-            view.delta = ZSet(materialize(delta.df, f"delta-{view.name}"))
             before[view.name] = view.result
-            view.result = ZSet(materialize(view.delta.integrate(view.result).df, f"view-{view.name}"))
+            view.delta = ZSet(view.results.put(self._advance(view, deltas, before).consolidate().df, f"view-{view.name}"))
             deltas[view.name] = view.delta
             out[view.name] = view.delta.df
             for callback in self.watchers.get(view.name, []):
@@ -182,13 +225,13 @@ class IncrementalFlow:
         return out
 
     def _state(self, name: str) -> ZSet | None:
-        return self.sources[name] if name in self.sources else self.views[name].result
+        return ZSet(self.sources[name].rows()) if name in self.sources else self.views[name].result
 
     def _advance(self, view: View, deltas: dict[str, ZSet], before: dict[str, ZSet | None]) -> ZSet:
         kind, p = view.plan
         if kind == "diff":
             for s in view.sources:
-                self._state(s).expanded().createOrReplaceTempView(s)
+                self.snapshot(s).createOrReplaceTempView(s)
             now = self.spark.sql(view.sql)
             if view.result is None:
                 return ZSet.inserts(now).consolidate()
@@ -198,13 +241,12 @@ class IncrementalFlow:
             d = where(deltas[p["source"]])
             return (d.project(*p["columns"]) if p["columns"] else d).consolidate()
         if kind == "distinct":
-            delta, state = op.distinct(view.states.get("all"), where(deltas[p["source"]]).project(*p["columns"]))
-            view.states["all"] = ZSet(materialize(state.df, f"state-{view.name}"))
-            return delta
+            view.state = view.state or Log(_weights)
+            old = view.state.rows()
+            d = view.state.put(where(deltas[p["source"]]).project(*p["columns"]).consolidate().df, f"state-{view.name}")
+            return op.distinct(ZSet(old) if old is not None else None, ZSet(d))[0]
         if kind == "aggregate":
-            delta, state = op.aggregate(view.states.get("all"), where(deltas[p["source"]]), p["keys"], p["aggs"])
-            view.states["all"] = ZSet(materialize(state.df, f"state-{view.name}"))
-            return delta.project(*p["columns"])
+            return self._aggregate(view, where(deltas[p["source"]]), p["keys"], p["aggs"]).project(*p["columns"])
         l, r, on = p["left"], p["right"], p["on"]
         empty = lambda n: ZSet(self._state(n).df.where(F.lit(False)))
         dl, dr = deltas.get(l, empty(l)), deltas.get(r, empty(r))
@@ -215,12 +257,23 @@ class IncrementalFlow:
         delta = where(delta)
         return delta.project(*p["columns"]) if p["columns"] else delta
 
+    def _aggregate(self, view: View, delta: ZSet, keys: list[str], aggs: list[op.Agg]) -> ZSet:
+        """Sums by key are the state where they do; else the rows themselves, of which the touched keys' are looked at."""
+        if op.additive(dict(delta.df.dtypes), aggs):
+            view.state = view.state or Log(lambda df: op.added(df, keys))
+            old = view.state.rows()
+            return op.aggregate_sums(old, view.state.put(op.sums(delta, keys, aggs), f"state-{view.name}"), keys, aggs)
+        view.state = view.state or Log(_weights)
+        old = view.state.rows()
+        d = view.state.put(op.aggregate_input(delta, keys, aggs).df, f"state-{view.name}")
+        return op.aggregate(ZSet(old) if old is not None else None, ZSet(d), keys, aggs)[0]
+
     # reading
     def snapshot(self, name: str) -> DataFrame:
         state = self._state(name)
         if state is None:
             raise ValueError(f"view {name} has had no tick yet")
-        return state.expanded()
+        return state.consolidate().expanded()
 
     def changes(self, name: str) -> DataFrame:
         """The last tick's changelog of a view."""
@@ -231,28 +284,35 @@ class IncrementalFlow:
 
     # checkpoints
     def checkpoint(self, path: str | None = None) -> str:
-        """Write sources, states and results; returns the folder."""
+        """Write sources, states, results, what was fed but not ticked, and how far each source has come; returns the folder."""
         path = path or state_path(self.spark, "ivm-checkpoint")
-        for name, z in self.sources.items():
-            z.df.write.mode("overwrite").parquet(f"{path}/source/{name}")
-        for name, v in self.views.items():
-            if v.result is not None:
-                v.result.df.write.mode("overwrite").parquet(f"{path}/view/{name}")
-            for s, z in v.states.items():
-                z.df.write.mode("overwrite").parquet(f"{path}/state/{name}/{s}")
+        logs = {f"source/{n}": log for n, log in self.sources.items()} | {f"view/{n}": v.results for n, v in self.views.items()} | {f"state/{n}": v.state for n, v in self.views.items() if v.state}
+        for where, log in logs.items():
+            if log.parts:
+                log.merge(log.rows()).write.mode("overwrite").parquet(f"{path}/{where}")
+        for name, parts in self.pending.items():
+            z = parts[0]
+            for more in parts[1:]:
+                z = z.concat(more)
+            z.df.write.mode("overwrite").parquet(f"{path}/pending/{name}")
+        for name, top in self.newest.items():
+            self.spark.range(1).select(F.lit(top).alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/{name}")
+        write_text(self.spark, f"{path}/progress.json", json.dumps({"ordinals": self.ordinals, "pending": sorted(self.pending), "newest": sorted(self.newest)}), overwrite=True)
         return path
 
     def restore(self, path: str) -> None:
-        """Into a flow that declares the same sources and views."""
-        from tessera.storage import path_exists
-
-        read = lambda p: ZSet(self.spark.read.parquet(p)) if path_exists(self.spark, p) else None
-        for name in self.sources:
-            self.sources[name] = read(f"{path}/source/{name}") or self.sources[name]
+        """Into a flow that declares the same sources and views; a batch that the checkpoint has seen is ignored again."""
+        read = lambda p: self.spark.read.parquet(p) if path_exists(self.spark, p) else None
+        for name, log in self.sources.items():
+            self.sources[name] = Log.of(_weights, df) if (df := read(f"{path}/source/{name}")) is not None else log
         for name, v in self.views.items():
-            v.result = read(f"{path}/view/{name}")
-            if (s := read(f"{path}/state/{name}/all")) is not None:
-                v.states["all"] = s
+            v.results = Log.of(_weights, read(f"{path}/view/{name}"))
+            if (df := read(f"{path}/state/{name}")) is not None:
+                v.state = Log.of(_weights if WEIGHT in df.columns else (lambda rows, keys=v.plan[1]["keys"]: op.added(rows, keys)), df)
+        progress = json.loads(read_text(self.spark, f"{path}/progress.json"))
+        self.ordinals = dict(progress["ordinals"])
+        self.pending = {name: [ZSet(read(f"{path}/pending/{name}"))] for name in progress["pending"]}
+        self.newest = {name: self.spark.read.parquet(f"{path}/newest/{name}").first()[0] for name in progress["newest"]}
 
     def provenance(self, view: str, on: list[str]) -> DataFrame:
         """(input_hash, output_hash): which source rows stand behind which view rows, by the columns that they share."""

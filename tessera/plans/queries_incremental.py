@@ -122,3 +122,33 @@ def recursive_view(spark: S, d: str) -> DF:
     edges = materialize(edges, "edges")
     step = lambda fresh: fresh.join(edges.where("y < 25"), fresh.b == edges.x).select("a", F.col("y").alias("b"))
     return RecursiveView(step).run(edges.where("x < 5").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+_NULLED = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END"
+
+
+@register(
+    "ivm_join_left_nulls",
+    f"""
+    SELECT o_orderkey, {_NULLED} AS o_custkey, c_mktsegment FROM orders
+    LEFT JOIN (SELECT c_custkey AS k, c_mktsegment FROM customer) c ON k = {_NULLED}
+    WHERE o_totalprice >= 100000
+    """,
+)
+def ivm_join_left_nulls(spark: S, d: str) -> DF:
+    """Rows with a NULL key, inserted in two ticks and in part taken back, against customers with a NULL key of their own."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("o_custkey"), "o_totalprice")
+    customers = _customers(spark, d)
+    customers = customers.unionByName(customers.limit(1).withColumn("o_custkey", F.lit(None).cast("long")))
+    flow = IncrementalFlow(spark)
+    flow.register_source("orders_src", orders)
+    flow.register_source("customers_src", customers)
+    flow.register_view("v", "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders_src LEFT JOIN customers_src USING (o_custkey)")
+    flow.feed("orders_src", orders.where("o_totalprice < 200000"))
+    flow.step()
+    flow.feed("customers_src", customers)
+    flow.feed("orders_src", orders.where("o_totalprice >= 200000"))
+    flow.step()
+    flow.feed("orders_src", ZSet.deletes(orders.where("o_totalprice < 100000")))
+    flow.step()
+    return flow.snapshot("v")
