@@ -91,32 +91,42 @@ def match_any(df: DataFrame, key: str, ts: str, n_stages: int, within_ms: int =
     """Matches without conditions on the rows: every row is the next stage of its key's match.
 
     So matches are consecutive groups of ``n_stages`` rows, restarted when a row
-    comes more than ``within_ms`` after its match began.
+    comes more than ``within_ms`` after its match began.  No match spans a pause
+    longer than that, so a key's rows fall into stretches between such pauses.
+    In stretches that last no longer than the limit, matches are plain groups of
+    rows; only longer ones are stepped through, each by itself, by their times.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("match_id", T.LongType()), T.StructField("match_stage", T.IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, *ties], kind="stable")
-        state, taken, out, n = None, [], [], 0
-        for i, t in enumerate(pdf[ts]):
-            state, _, done = advance(state, t, lambda k: True, n_stages, within_ms)
-            if done and n_stages == 1 or state is not None and state[0] == 1:
-                taken = []
-            taken.append(i)
-            if done:
-                out += [(j, n, k) for k, j in enumerate(taken[-n_stages:])]
-                n += 1
-        got = pdf.iloc[[j for j, _, _ in out]].copy()
-        got["match_id"] = [m for _, m, _ in out]
-        got["match_stage"] = [k for _, _, k in out]
-        return got
-
-    return df.where(F.col(ts).isNotNull()).groupBy(key).applyInPandas(run, schema)
-
-
-def match_any_unbounded(df: DataFrame, key: str, order: Sequence[str], n_stages: int) -> DataFrame:
-    """The same without a time limit, as plain window arithmetic: complete groups of ``n_stages`` rows."""
+    order = [F.col(ts), *[F.col(c) for c in ties]]
     w = Window.partitionBy(key).orderBy(*order)
-    numbered = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    whole = numbered.where(F.floor(F.col("__i") / n_stages) < F.floor(F.col("__n") / n_stages))
-    return whole.withColumn("match_id", F.floor(F.col("__i") / n_stages)).withColumn("match_stage", (F.col("__i") % n_stages).cast("int")).drop("__i", "__n")
+    rows = df.where(F.col(ts).isNotNull())
+    # one order for all that follows, also among rows of equal time
+    rows = rows.withColumn("__n", F.row_number().over(w)).withColumn("__before", F.lag(ts).over(w))
+    byrow = Window.partitionBy(key).orderBy("__n")
+    rows = rows.withColumn("__stretch", F.sum(F.when(F.col(ts) - F.col("__before") > within_ms, 1).otherwise(0)).over(byrow))
+    whole = Window.partitionBy(key, "__stretch")
+    rows = rows.withColumn("__i", F.row_number().over(whole.orderBy("__n")) - 1).withColumn("__size", F.count(F.lit(1)).over(whole)).withColumn("__long", F.max(ts).over(whole) - F.min(ts).over(whole) > within_ms)
+    rows = rows.withColumn("match_stage", F.when(~F.col("__long") & (F.col("__i") < F.col("__size") - F.col("__size") % n_stages), (F.col("__i") % n_stages).cast("int")))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__n")
+        times, start, count, stages = pdf[ts].to_numpy(), 0, 0, [-1] * len(pdf)
+        for i in range(len(times)):
+            if count and times[i] - times[start] > within_ms:
+                count = 0
+            if not count:
+                start = i
+            count += 1
+            if count == n_stages:
+                stages[start : i + 1] = range(n_stages)
+                count = 0
+        return pd.DataFrame({"__key": pdf["__key"], "__n": pdf["__n"], "__stage": stages})
+
+    kind = df.schema[key].dataType
+    stepped = T.StructType([T.StructField("__key", kind), T.StructField("__n", T.IntegerType()), T.StructField("__stage", T.IntegerType())])
+    asked = rows.where("__long").select(F.col(key).alias("__key"), "__stretch", "__n", ts)
+    found = asked.groupBy("__key", "__stretch").applyInPandas(step, stepped).where("__stage >= 0")
+    short = rows.where("NOT __long AND match_stage IS NOT NULL")
+    long = rows.where("__long").drop("match_stage").join(found.withColumnRenamed("__n", "__m"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__n") == F.col("__m"))).withColumn("match_stage", F.col("__stage"))
+    out = short.unionByName(long.select(*short.columns))
+    out = out.withColumn("match_id", (F.sum(F.when(F.col("match_stage") == 0, 1).otherwise(0)).over(byrow) - 1).cast("long"))
+    return out.select(*df.columns, "match_id", "match_stage")

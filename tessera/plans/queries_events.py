@@ -111,10 +111,49 @@ def match_recognize(spark: S, d: str) -> DF:
     return out.select("user_id", "event_id", "match_id", "match_stage")
 
 
-@register("match_stages")
+def _limited(within: int) -> str:
+    """SQL of the same with a limit, one row of each key at a time."""
+    new = f"s.cnt = 3 OR n.ms - s.start > {within}"
+    return f"""
+    WITH RECURSIVE n AS (SELECT user_id, event_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM {_E}),
+    s AS (
+        SELECT user_id, i, event_id, ms AS start, i AS head, 1 AS cnt FROM n WHERE i = 1
+        UNION ALL
+        SELECT n.user_id, n.i, n.event_id, CASE WHEN {new} THEN n.ms ELSE s.start END, CASE WHEN {new} THEN n.i ELSE s.head END, CASE WHEN {new} THEN 1 ELSE s.cnt + 1 END
+        FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1),
+    m AS (SELECT user_id, head FROM s WHERE cnt = 3)
+    SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY head) - 1 AS match_id, (i - head)::INT AS match_stage FROM s JOIN m USING (user_id, head)
+    """
+
+
+@register("match_recognize_within", _limited(30 * HOUR))
+def match_recognize_within(spark: S, d: str) -> DF:
+    out = cep.match_any(timed(spark, d), "user_id", "ms", 3, within_ms=30 * HOUR, ties=["event_id"])
+    return out.select("user_id", "event_id", "match_id", "match_stage")
+
+
+_GONE = f"(CASE WHEN s.nxt > 0 AND n.ms - s.start > {24 * HOUR} THEN 0 ELSE s.nxt END)"
+
+
+@register(
+    "match_stages",
+    f"""
+    WITH RECURSIVE e AS (SELECT *, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END AS k FROM {_E}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM e WHERE k IS NOT NULL),
+    s AS (
+        SELECT user_id, i, event_id, k, CASE WHEN k = 0 THEN 1 ELSE 0 END AS nxt, ms AS start, i AS head, k = 0 AS taken FROM n WHERE i = 1
+        UNION ALL
+        SELECT n.user_id, n.i, n.event_id, n.k,
+               CASE WHEN {_GONE} = n.k THEN (n.k + 1) % 3 ELSE {_GONE} END,
+               CASE WHEN {_GONE} = 0 THEN n.ms ELSE s.start END, CASE WHEN {_GONE} = 0 THEN n.i ELSE s.head END, {_GONE} = n.k
+        FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1),
+    m AS (SELECT user_id, head FROM s WHERE taken AND k = 2)
+    SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY head) - 1 AS match_id, k::INT AS match_stage FROM s JOIN m USING (user_id, head) WHERE taken
+    """,
+)
 def match_stages(spark: S, d: str) -> DF:
     pattern = cep.Pattern.begin("view").followed_by("click").followed_by("purchase").within(24 * HOUR)
-    return cep.match_stages(timed(spark, d), "user_id", "ms", "event_type", pattern, ties=["event_id"])
+    return cep.match_stages(timed(spark, d), "user_id", "ms", "event_type", pattern, ties=["event_id"]).select("user_id", "event_id", "match_id", "match_stage")
 
 
 # the same as streams, run until their input ends

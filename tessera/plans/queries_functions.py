@@ -144,3 +144,83 @@ def fn_crc32(spark: S, d: str) -> DF:
 @register("fn_random")
 def fn_random(spark: S, d: str) -> DF:
     return table(spark, d, "nation").select("n_nationkey", T.rand().alias("r"), T.uuid().alias("u"), T.current_date().alias("d"), T.now().alias("t"))
+
+
+# what the families above leave out
+
+
+@register(
+    "fn_string_more",
+    """
+    SELECT p_partkey, length(p_name)::INT AS cl, trim('  ' || p_name || ' ') AS bt, trim('xxabx', 'x') AS btx,
+           array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS ic,
+           instr(p_name, 'e')::INT AS lo, (CASE WHEN instr(substr(p_name, 3), 'e') > 0 THEN instr(substr(p_name, 3), 'e') + 2 ELSE 0 END)::INT AS lo3, substring(p_name, 2, 5) AS su
+    FROM part
+    """,
+)
+def fn_string_more(spark: S, d: str) -> DF:
+    n = "p_name"
+    return table(spark, d, "part").select(
+        "p_partkey", T.char_length(n).alias("cl"), T.btrim(F.concat(F.lit("  "), n, F.lit(" "))).alias("bt"), T.btrim(F.lit("xxabx"), "x").alias("btx"), T.initcap(n).alias("ic"),
+        T.locate("e", n).alias("lo"), T.locate("e", n, 3).alias("lo3"), T.substring(n, 2, 5).alias("su"),
+    )
+
+
+@register(
+    "fn_math_more",
+    "SELECT p_partkey, round(ln(p_size), 8) AS lg, pow(p_size, 3)::DOUBLE AS pw, sign(p_size - 25)::DOUBLE AS sg, CASE WHEN p_size > 25 THEN 1.5 ELSE p_retailprice END AS nv, p_size * 2 AS ex, abs(p_size - 30) AS cf, sqrt(p_size) AS fu FROM part",
+)
+def fn_math_more(spark: S, d: str) -> DF:
+    x = T.column("p_size")
+    return table(spark, d, "part").select(
+        "p_partkey", F.round(T.log(x), 8).alias("lg"), T.pow(x, 3).alias("pw"), T.signum(x - 25).alias("sg"),
+        T.nanvl(T.when(x > 25, F.lit(float("nan"))).otherwise(F.col("p_retailprice")), F.lit(1.5)).alias("nv"),
+        T.expr("p_size * 2").alias("ex"), T.call_function("abs", x - 30).alias("cf"), T.function("sqrt", "p_size").alias("fu"),
+    )
+
+
+@register(
+    "fn_aggregate_more",
+    """
+    SELECT c_nationkey, round(avg(c_acctbal), 6) AS m, min(c_nationkey) AS f, max(c_nationkey) AS l, round(stddev_samp(c_acctbal), 6) AS sd, round(var_samp(c_acctbal), 1) AS va,
+           round(corr(c_acctbal, c_custkey), 8) AS co, round(covar_samp(c_acctbal, c_custkey), 0) AS cs, round(covar_pop(c_acctbal, c_custkey), 0) AS cp, count(*) AS n
+    FROM customer GROUP BY c_nationkey HAVING count(*) > 1
+    """,
+)
+def fn_aggregate_more(spark: S, d: str) -> DF:
+    b, k, n = "c_acctbal", "c_custkey", "c_nationkey"
+    g = table(spark, d, "customer").groupBy(n).agg(
+        F.round(T.mean(b), 6).alias("m"), T.first(n).alias("f"), T.last(n).alias("l"), F.round(T.stddev(b), 6).alias("sd"), F.round(T.variance(b), 1).alias("va"),
+        F.round(T.corr(b, k), 8).alias("co"), F.round(T.covar_samp(b, k), 0).alias("cs"), F.round(T.covar_pop(b, k), 0).alias("cp"), F.size(T.array_agg(k)).cast("long").alias("n"),
+    )
+    return g.where("n > 1")
+
+
+@register("fn_order_more", "SELECT n_nationkey, nullif(n_regionkey, 2) AS v FROM nation ORDER BY v DESC NULLS FIRST, n_nationkey LIMIT 12")
+def fn_order_more(spark: S, d: str) -> DF:
+    return table(spark, d, "nation").select("n_nationkey", T.nullif("n_regionkey", F.lit(2)).alias("v")).orderBy(T.desc("v"), T.asc("n_nationkey")).limit(12)
+
+
+@register("fn_datetime_more", "SELECT event_id, day(ts)::INT AS dm, strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')::TIMESTAMP AS tt, true AS ok FROM events")
+def fn_datetime_more(spark: S, d: str) -> DF:
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return table(spark, d, "events").select("event_id", T.dayofmonth("ts").alias("dm"), T.to_timestamp(text).cast("timestamp_ntz").alias("tt"), (T.current_timestamp() > F.lit("2020-01-01").cast("timestamp")).alias("ok"))
+
+
+@register(
+    "fn_array_more",
+    """
+    SELECT n_nationkey, array_to_string(list_sort(list_filter(list_distinct([n_nationkey, n_regionkey, 7]), lambda e: e <> 7 AND e <> 2)), ',') AS ex, n_nationkey + n_regionkey + 7 AS rd FROM nation
+    """,
+)
+def fn_array_more(spark: S, d: str) -> DF:
+    a = T.array("n_nationkey", "n_regionkey", 7)
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(F.sort_array(T.array_except(a, T.array(7, 2))).cast("array<string>"), ",").alias("ex"), T.reduce(a, F.lit(0), lambda s, e: s + e).alias("rd"))
+
+
+@register("fn_explode", "SELECT n_nationkey, unnest([n_regionkey, n_nationkey]) AS e FROM nation UNION ALL SELECT n_nationkey, p + 100 * v FROM nation, (VALUES (0), (1)) t(p), LATERAL (SELECT CASE p WHEN 0 THEN n_regionkey ELSE 7 END) u(v)")
+def fn_explode(spark: S, d: str) -> DF:
+    n = table(spark, d, "nation")
+    a = n.select("n_nationkey", T.explode(T.array("n_regionkey", "n_nationkey")).alias("e"))
+    b = n.select("n_nationkey", T.posexplode(T.array("n_regionkey", 7)).alias("p", "v"))
+    return a.unionByName(b.select("n_nationkey", (F.col("p") + 100 * F.col("v")).alias("e")))

@@ -55,13 +55,13 @@ def lake_time_travel(spark: S, d: str) -> DF:
     return e.sql("SELECT 'now' AS at, count(*) AS n FROM target").unionByName(e.sql("SELECT 'before' AS at, count(*) AS n FROM target VERSION AS OF 0"))
 
 
-@register("lake_insert_overwrite", "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1")
+@register("lake_insert_overwrite", "SELECT o_orderkey FROM orders")
 def lake_insert_overwrite(spark: S, d: str) -> DF:
     e = Engine(spark)
     e.lake["target"] = _orders(spark, d)
     table(spark, d, "orders").createOrReplaceTempView("orders")
-    e.sql("INSERT OVERWRITE target SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 4 = 1")
-    e.sql("INSERT INTO target SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 4 = 3")
+    e.sql("INSERT OVERWRITE target SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice < 200000")
+    e.sql("INSERT INTO target SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice >= 200000")
     return e.sql("SELECT o_orderkey FROM target")
 
 

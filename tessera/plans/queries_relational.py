@@ -62,9 +62,18 @@ def explode(spark: S, d: str) -> DF:
     return table(spark, d, "nation").select("n_nationkey", F.posexplode(F.array("n_nationkey", "n_regionkey")).alias("pos", "v"))
 
 
-@register("describe")
+@register(
+    "describe",
+    """
+    SELECT 'count' AS summary, count(o_totalprice)::DOUBLE AS price, count(o_custkey)::DOUBLE AS customer FROM orders
+    UNION ALL SELECT 'mean', round(avg(o_totalprice), 4), round(avg(o_custkey), 4) FROM orders
+    UNION ALL SELECT 'stddev', round(stddev_samp(o_totalprice), 4), round(stddev_samp(o_custkey), 4) FROM orders
+    UNION ALL SELECT 'min', min(o_totalprice), min(o_custkey) FROM orders UNION ALL SELECT 'max', max(o_totalprice), max(o_custkey) FROM orders
+    """,
+)
 def describe(spark: S, d: str) -> DF:
-    return table(spark, d, "orders").select("o_totalprice", "o_custkey").summary()
+    made = table(spark, d, "orders").select(F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer")).describe()
+    return made.select("summary", F.round(F.col("price").cast("double"), 4).alias("price"), F.round(F.col("customer").cast("double"), 4).alias("customer"))
 
 
 @register("sample_rows")
@@ -89,12 +98,12 @@ def analyze_table(spark: S, d: str) -> DF:
 
 # joins
 
-_JOIN = "SELECT {c} FROM (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 3 <> 0) a {how} JOIN (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_orderkey % 2 = 0) b USING (k)"
+_JOIN = "SELECT {c} FROM (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 0) a {how} JOIN (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_orderstatus <> 'F') b USING (k)"
 
 
 def _sides(spark: S, d: str) -> tuple[DF, DF]:
-    a = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), "c_name")
-    return a, table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    a = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), "c_name")
+    return a, table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("k"), "o_orderkey")
 
 
 for _name, _how, _sql in (("join_inner", "inner", ""), ("join_left", "left", "LEFT"), ("join_right", "right", "RIGHT"), ("join_full", "full", "FULL")):
@@ -105,25 +114,25 @@ for _name, _how, _sql in (("join_inner", "inner", ""), ("join_left", "left", "LE
         return frame.join(a, b, how, ["k"]).select("k", "c_name", "o_orderkey")
 
 
-@register("join_left_semi", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+@register("join_left_semi", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')")
 def join_left_semi(spark: S, d: str) -> DF:
     a, b = _sides(spark, d)
     return frame.join(a, b, "leftsemi", ["k"]).select("k")
 
 
-@register("join_left_anti", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+@register("join_left_anti", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')")
 def join_left_anti(spark: S, d: str) -> DF:
     a, b = _sides(spark, d)
     return frame.join(a, b, "leftanti", ["k"]).select("k")
 
 
-@register("join_right_semi", "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@register("join_right_semi", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def join_right_semi(spark: S, d: str) -> DF:
     a, b = _sides(spark, d)
     return frame.join(a, b, "rightsemi", ["k"]).select("o_orderkey")
 
 
-@register("join_right_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@register("join_right_anti", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def join_right_anti(spark: S, d: str) -> DF:
     a, b = _sides(spark, d)
     return frame.join(a, b, "rightanti", ["k"]).select("o_orderkey")

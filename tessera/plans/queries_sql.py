@@ -180,3 +180,65 @@ _also("sql_pivot", "CREATE OR REPLACE TEMP VIEW flags AS SELECT l_returnflag, l_
     "SELECT sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS A, sum(l_quantity) FILTER (WHERE l_returnflag = 'N') AS N, sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS R FROM lineitem")
 _also("sql_unpivot", "CREATE OR REPLACE TEMP VIEW wide AS SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part",
     "SELECT 'p_size' AS n, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part")
+
+# Queries of the benchmark whose columns these tables lack in part: the shape is kept, ship dates stand for commit and
+# receipt dates, return flags for ship modes, brands and sizes for containers, and balances and names for phone numbers.
+shared_sql(
+    "tpch_q4",
+    """
+    SELECT o_orderpriority, count(*) AS order_count FROM orders
+    WHERE o_orderdate >= DATE '1997-07-01' AND o_orderdate < DATE '1998-10-01' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate)
+    GROUP BY o_orderpriority ORDER BY o_orderpriority
+    """,
+    "orders lineitem",
+)
+shared_sql(
+    "tpch_q12",
+    """
+    SELECT l_returnflag, count(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 END) AS high_line_count, count(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 END) AS low_line_count
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    WHERE l_returnflag IN ('A', 'R') AND l_shipdate > o_orderdate AND l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1999-01-01'
+    GROUP BY l_returnflag ORDER BY l_returnflag
+    """,
+    "orders lineitem",
+)
+shared_sql(
+    "tpch_q17",
+    """
+    SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE p_type = 'ECONOMY' AND l_quantity < (SELECT 0.5 * avg(i.l_quantity) FROM lineitem i WHERE i.l_partkey = p_partkey)
+    """,
+    "lineitem part",
+)
+shared_sql(
+    "tpch_q19",
+    """
+    SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE (p_brand = 'Brand#2' AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 25)
+       OR (p_brand = 'Brand#17' AND l_quantity BETWEEN 10 AND 40 AND p_size BETWEEN 1 AND 40)
+       OR (p_brand = 'Brand#3' AND l_quantity BETWEEN 20 AND 50 AND p_size BETWEEN 1 AND 50)
+    """,
+    "lineitem part",
+)
+shared_sql(
+    "tpch_q21",
+    """
+    SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey JOIN nation ON s_nationkey = n_nationkey
+    WHERE o_orderstatus = 'F' AND l1.l_shipdate > o_orderdate AND n_regionkey IN (1, 2)
+      AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+      AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_shipdate > o_orderdate)
+    GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100
+    """,
+    "supplier lineitem orders nation",
+)
+shared_sql(
+    "tpch_q22",
+    """
+    SELECT cntry, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal
+    FROM (SELECT substring(c_name, 18, 1) AS cntry, c_acctbal, c_custkey FROM customer
+          WHERE substring(c_name, 18, 1) IN ('1', '3', '5', '7') AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.00 AND substring(c_name, 18, 1) IN ('1', '3', '5', '7'))
+            AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')) custsale
+    GROUP BY cntry ORDER BY cntry
+    """,
+    "customer orders",
+)
