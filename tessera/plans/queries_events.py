@@ -221,3 +221,70 @@ def stream_interval_join(spark: S, d: str) -> DF:
 def stream_totals(spark: S, d: str) -> DF:
     s = _stream(spark, d)
     return materialize(_finish(s.df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete"), "totals")
+
+
+@register("stream_two_phase", f"SELECT event_id, user_id FROM {_E} WHERE value > 10")
+def stream_two_phase(spark: S, d: str) -> DF:
+    """Epochs that are delivered twice are there once."""
+    from tessera.streaming.delivery import TwoPhaseParquetSink
+
+    sink = TwoPhaseParquetSink(state_path(spark, "two-phase"))
+    df = _stream(spark, d).filter("value > 10").select("event_id", "user_id").df
+
+    def twice(batch: DF, epoch: int) -> None:
+        sink.prepare(batch, epoch)  # a first try that ends before its commit
+        sink(batch, epoch)
+        sink(batch, epoch)
+
+    df.writeStream.foreachBatch(twice).option("checkpointLocation", state_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return sink.read(spark)
+
+
+@register("stream_of_table", f"SELECT user_id, count(*) AS n FROM {_E} WHERE value > 5 GROUP BY 1")
+def stream_of_table(spark: S, d: str) -> DF:
+    """A table's versions as a stream of changes, added up; a deletion comes as negative weights."""
+    from tessera.ivm import ZSet
+    from tessera.sources.versioned import VersionedTable
+    from tessera.streaming.delivery import TableStream
+
+    e = timed(spark, d).select("event_id", "user_id", "value")
+    t = VersionedTable(spark, state_path(spark, "followed"))
+    stream, got = TableStream(t, state_path(spark, "followed-at")), []
+    t.append(e.where("value < 50"))
+    stream.run(lambda df, v: got.append(df))
+    t.append(e.where("value >= 50"))
+    t.delete("value <= 5")
+    stream.run(lambda df, v: got.append(df))
+    stream.run(lambda df, v: got.append(df))
+    whole = got[0]
+    for df in got[1:]:
+        whole = whole.unionByName(df)
+    return ZSet(whole).consolidate().df.groupBy("user_id").agg(F.sum("_weight").alias("n"))
+
+
+@register("streaming_table_sql", f"SELECT event_type, user_id, event_id FROM {_E} WHERE event_type <> 'error'")
+def streaming_table_sql(spark: S, d: str) -> DF:
+    from tessera.session import Engine
+
+    e, events_ = Engine(spark, lake=state_path(spark, "lake")), timed(spark, d).select("event_type", "user_id", "event_id", "value")
+    path = state_path(spark, "arriving")
+    events_.where("value < 50").write.mode("append").parquet(path)
+    e.register_stream("arriving", path, events_.schema)
+    e.sql("CREATE STREAMING TABLE kept AS SELECT event_type, user_id, event_id FROM arriving WHERE event_type <> 'error'")
+    events_.where("value >= 50").write.mode("append").parquet(path)
+    e.sql("REFRESH STREAMING TABLE kept; REFRESH STREAMING TABLE kept")
+    return e.sql("SELECT * FROM kept")
+
+
+@register("stream_early_fire", f"SELECT user_id, ms - ms % {24 * HOUR} AS window_start_ms, count(*) AS n FROM {_E} GROUP BY 1, 2")
+def stream_early_fire(spark: S, d: str) -> DF:
+    """Open windows report at every trigger; the last report of each is its result."""
+    from tessera.streaming.frame import StreamWriter
+
+    out = state_path(spark, "early")
+    df = _stream(spark, d).tumbling_window(24 * HOUR).aggregate(F.count(F.lit(1)).alias("n"))
+    writer = StreamWriter(df).early_fire().checkpoint(state_path(spark, "stream-state")).trigger("available_now")
+    writer.foreach_batch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start().awaitTermination()
+    got = spark.read.parquet(out)
+    last = got.groupBy("user_id", "window_start_ms").agg(F.max_by("n", "batch").alias("n"))
+    return last.select("user_id", "window_start_ms", "n")

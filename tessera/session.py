@@ -114,6 +114,7 @@ class Engine:
         self.flow: IncrementalFlow | None = None
         self.keys: dict[str, list[str]] = {}
         self.live: dict[str, str] = {}
+        self.streams: dict[str, str] = {}
         self.pipelines: dict[str, Pipeline] = {}
         self.connectors: dict[str, dict[str, str]] = {}
         self.history: list[dict] = []
@@ -142,6 +143,14 @@ class Engine:
         df.createOrReplaceTempView(name)
         return df
 
+    def register_stream(self, name: str, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
+        """A folder in which files arrive, as an unbounded table."""
+        from tessera.streaming.frame import file_stream
+
+        df = file_stream(self.spark, path, schema, fmt, **options)
+        df.createOrReplaceTempView(name)
+        return df
+
     def table(self, name: str) -> DataFrame:
         self._check(name)
         return self.lake[name].read() if name in self.lake else self.spark.table(name)
@@ -527,6 +536,29 @@ class Engine:
             known = materialize(known.unionByName(fresh), "recursive")
         raise CycleLimitExceeded(f"{m['n']} still changes after 100 rounds")
 
+    def _streaming_table(self, m, sql):
+        """A versioned table fed by a stream: creating and refreshing it append what has arrived since, each batch once."""
+        if m["n"] in self.streams and not m["r"]:
+            raise ValueError(f"streaming table {m['n']} exists")
+        self.streams[m["n"]] = m["q"]
+        self.create_lake_table(m["n"])
+        return self._refresh_streaming(m, sql)
+
+    def _refresh_streaming(self, m, sql):
+        from tessera.streaming.frame import StreamWriter
+
+        table = self.lake[m["n"]]
+        df = self.spark.sql(self._lake_views(dialect.rewrite(self.streams[m["n"]])))
+        if not df.isStreaming:
+            raise ValueError(f"{m['n']} must read a stream")
+        StreamWriter(df).output_mode("append").trigger("available_now").checkpoint(f"{table.path}/_stream").append_to(table).start().awaitTermination()
+        return self._message("status", "refreshed")
+
+    def _drop_streaming(self, m, sql):
+        del self.streams[m["n"]]
+        self.lake.pop(m["n"], None)
+        return self._message("status", "dropped")
+
     def _live_table(self, m, sql):
         self.live[m["n"]] = m["q"]
         table = self.create_lake_table(m["n"])
@@ -602,6 +634,13 @@ def sqlstate(error: BaseException) -> str:
     return {AccessDenied: "42501", TimeoutError: "57014", ValueError: "22023"}.get(type(error), "HY000")
 
 
+def error_position(error: BaseException) -> tuple[int, int] | None:
+    """(line, column), both from 1, of the place in the statement that an error speaks of; None if it names none."""
+    if m := re.search(r"\(line (\d+), pos (\d+)\)", str(error)) or re.search(r"line (\d+)(?: in \S+)?,? pos(?:ition)? (\d+)", str(error)):
+        return int(m[1]), int(m[2]) + 1
+    return None
+
+
 def _is(jvm, name: str, value) -> bool:
     return bool(jvm.java.lang.Class.forName(name, True, jvm.java.lang.Thread.currentThread().getContextClassLoader()).isInstance(value))
 
@@ -616,6 +655,9 @@ _OWN: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "_refresh_view": (("n",), ()),
     "_drop_view": (("n",), ()),
     "_live_table": (("n",), ("q",)),
+    "_streaming_table": (("n",), ("q",)),
+    "_refresh_streaming": (("n",), ()),
+    "_drop_streaming": (("n",), ()),
     "_refresh_live": (("n",), ()),
     "_drop_live": (("n",), ()),
     "_connector": (("n",), ()),
@@ -647,6 +689,9 @@ _HANDLERS: list[tuple[re.Pattern, str]] = [
     (_re(r"DECLARE\s+RECURSIVE\s+VIEW\s+(?P<n>\w+)\s+AS\s+(?P<q>.+)"), "_recursive_view"),
     (_re(r"REFRESH\s+(?:MATERIALIZED\s+|INCREMENTAL\s+)+VIEW\s+(?P<n>\w+)"), "_refresh_view"),
     (_re(r"DROP\s+(?:MATERIALIZED\s+|INCREMENTAL\s+)+VIEW\s+(?:IF\s+EXISTS\s+)?(?P<n>\w+)"), "_drop_view"),
+    (_re(r"CREATE\s+(?P<r>OR\s+REPLACE\s+)?STREAMING\s+TABLE\s+(?P<n>\w+)\s+AS\s+(?P<q>.+)"), "_streaming_table"),
+    (_re(r"REFRESH\s+STREAMING\s+TABLE\s+(?P<n>\w+)"), "_refresh_streaming"),
+    (_re(r"DROP\s+STREAMING\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?P<n>\w+)"), "_drop_streaming"),
     (_re(r"CREATE\s+(?:OR\s+REPLACE\s+)?LIVE\s+TABLE\s+(?P<n>\w+)\s+AS\s+(?P<q>.+)"), "_live_table"),
     (_re(r"REFRESH\s+LIVE\s+TABLE\s+(?P<n>\w+)"), "_refresh_live"),
     (_re(r"DROP\s+LIVE\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?P<n>\w+)"), "_drop_live"),

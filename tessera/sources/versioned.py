@@ -101,16 +101,17 @@ class VersionedTable:
         return self.current_version() >= 0
 
     # writing
-    def append(self, df: DataFrame, evolution: str = "strict", partition_by: Sequence[str] | None = None) -> int:
+    def append(self, df: DataFrame, evolution: str = "strict", partition_by: Sequence[str] | None = None, **details) -> int:
+        """``details`` are kept with the version."""
         base = self.current_version()
         if base < 0:
-            return self._commit([self._write(df, partition_by or [])], df.schema, "append", base, partitions=list(partition_by or []))
+            return self._commit([self._write(df, partition_by or [])], df.schema, "append", base, partitions=list(partition_by or []), **details)
         e = self._entry()
         old = T.StructType.fromJson(json.loads(e["schema"]))
         check_evolution(_loose(old), _loose(df.schema), evolution)
         names = {f.name for f in old}
         merged = T.StructType([*old.fields, *[f for f in df.schema if f.name not in names]])
-        return self._commit([*e["folders"], self._write(df, partition_by)], merged, "append", base)
+        return self._commit([*e["folders"], self._write(df, partition_by)], merged, "append", base, **details)
 
     def overwrite(self, df: DataFrame, partition_by: Sequence[str] | None = None, where: str | None = None) -> int:
         """All rows, or with ``where`` only those that satisfy it."""

@@ -198,6 +198,25 @@ class StreamWriter:
         self._w = self._w.option(key, value)
         return self
 
+    def early_fire(self) -> StreamWriter:
+        """Windows that are still open give what they hold at every trigger, and again when it changes."""
+        return self.output_mode("update")
+
+    def two_phase(self, path: str, partition_by: Sequence[str] = ()) -> StreamWriter:
+        """Parquet by epoch, each moved into place once; see ``delivery.TwoPhaseParquetSink``."""
+        from .delivery import TwoPhaseParquetSink
+
+        return self.foreach_batch(TwoPhaseParquetSink(path, partition_by))
+
+    def append_to(self, table) -> StreamWriter:
+        """Append to a versioned table, each batch once: a batch's number is kept with its version."""
+
+        def apply(df: DataFrame, n: int) -> None:
+            if all(e.get("batch") != n for e in table.versions()):
+                table.append(df, batch=n)
+
+        return self.foreach_batch(apply)
+
     def foreach_batch(self, f: Callable[[DataFrame, int], None]) -> StreamWriter:
         self._w = self._w.foreachBatch(f)
         return self

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from tessera.operators.cep import Pattern, UnsupportedPattern
 from tessera.plans import dialect
 from tessera.plans.pipeline import Memo, Pipeline, infer_engine
-from tessera.session import AccessDenied, Engine, sqlstate
+from tessera.session import AccessDenied, Engine, error_position, sqlstate
 from tessera.sources.files import MissingConnector, check_evolution, read_csv, read_json, write
 from tessera.sources.versioned import ConcurrentCommit, VersionedTable
 
@@ -205,3 +205,12 @@ def test_compaction_makes_files_of_the_target_size(spark, tmp_path):
     assert 3 <= len(files) <= 6 and t.read().count() == 60_000
     t.compact()
     assert len(list((tmp_path / "t" / t.versions()[-1]["folders"][0]).glob("*.parquet"))) == 1
+
+
+def test_error_positions(engine):
+    with pytest.raises(PySparkException) as e:
+        engine.sql("SELECT n_name\nFROM nation WHER x").collect()
+    assert error_position(e.value)[0] == 2
+    with pytest.raises(PySparkException) as e:
+        engine.sql("SELECT nope FROM nation")
+    assert error_position(e.value) == (1, 8) and error_position(ValueError("x")) is None

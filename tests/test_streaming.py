@@ -49,3 +49,40 @@ def test_upsert_sink(spark, tmp_path):
     stream = memory_stream(batches(spark, [(1, 1, 1.0, "a"), (2, 1, 1.0, "a")], [(1, 2, 7.0, "b")]), f"file://{tmp_path}/in")
     StreamWriter(stream).upsert(table, "ts").checkpoint(f"file://{tmp_path}/ck").trigger("available_now").start().awaitTermination()
     assert {(r.k, r.v) for r in table.read().collect()} == {(1, 7.0), (2, 1.0)}
+
+
+def test_queries_are_reported_and_their_state_can_be_read(spark, tmp_path):
+    from tessera.streaming.delivery import QueryManager, read_state, state_metadata
+    from tessera.streaming.frame import memory_stream
+
+    manager = QueryManager(spark)
+    try:
+        df = memory_stream([spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")], f"file://{tmp_path}/in")
+        q = df.groupBy("k").count().writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", f"file://{tmp_path}/ck").start()
+        assert manager.get("counted").id == q.id and q.id in {x.id for x in manager.active()}
+        q.processAllAvailable()
+        q.stop()
+        assert manager.wait_for("terminated", str(q.id)) and {e["kind"] for e in manager.events} == {"started", "progress", "terminated"}
+        assert {(r.key.k, r.value["count"]) for r in read_state(spark, f"file://{tmp_path}/ck").collect()} == {(1, 2), (2, 2), (3, 1)}
+        assert state_metadata(spark, f"file://{tmp_path}/ck").count() == 1
+    finally:
+        manager.close()
+
+
+def test_slow_source_holds_the_watermark_back(spark, tmp_path):
+    from tessera.streaming.delivery import union_streams
+    from tessera.streaming.frame import StreamingFrame, memory_stream, run_once
+
+    day = 86_400_000
+    fast = memory_stream([spark.createDataFrame([(t * day, "f")], "ms long, s string") for t in (1, 10, 20)], f"file://{tmp_path}/fast")
+    slow = memory_stream([spark.createDataFrame([(t * day, "s")], "ms long, s string") for t in (1, 2, 3)], f"file://{tmp_path}/slow")
+    both = union_streams([StreamingFrame(fast, "ms", 0), StreamingFrame(slow, "ms", 0)])
+    assert len(run_once(both.df, f"file://{tmp_path}/ck")) == 6
+
+
+def test_registry_messages(spark):
+    from tessera.streaming.delivery import decode_registered
+
+    rows = [(bytes([0, 0, 0, 0, 7]) + b'{"a": 1}',), (bytes([0, 0, 0, 1, 8]) + b'{"a": 2, "b": "x"}',), (bytes([0, 0, 0, 0, 9]) + b"{}",), (b"plain",), (None,)]
+    got = decode_registered(spark.createDataFrame(rows, "value binary"), "value", {7: "a INT", 264: "a INT, b STRING"}).collect()
+    assert [None if r.decoded is None else (r.decoded.a, r.decoded.b) for r in got] == [(1, None), (2, "x"), None, None, None]
