@@ -163,6 +163,49 @@ def test_languages(spark, odd, empty, docs):
     assert language_id.languages(empty).count() == 0
 
 
+def brute_counts(text):
+    """Hashed n-gram counts, one n-gram at a time."""
+    letters = [c if c.isalpha() else " " for c in text.lower()]
+    chars = [" "]
+    for i, c in enumerate(letters):
+        if c != " " or (i and letters[i - 1] != " "):
+            chars.append(c)
+    chars = [ord(c) for c in [*chars, " "]]
+    out, mask = Counter(), (1 << 64) - 1
+    for n, seed in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9)):
+        for i in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[i : i + n]:
+                h = (h * 1000003 + c) & mask
+            h = h * seed & mask
+            out[((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> 51] += 1
+    return out
+
+
+def test_languages_by_brute_force(spark, docs):
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").limit(120).collect()
+    df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+    train = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    model = language_id.fit(df.where(F.col("doc_id").isin([r.doc_id for r in train])))
+    made = [brute_counts(r.text) for r in train if any(c.isalpha() for c in r.text)]
+    df_of, n = Counter(k for c in made for k in c), len(made)
+    assert all(model.idf[k] == pytest.approx(math.log((n + 1) / (df_of[k] + 1)) + 1) for k in range(language_id.DIMENSIONS))
+    got = {r.doc_id: r for r in language_id.languages(df).collect()}
+    for r in rows:
+        v = {k: math.sqrt(c) * model.idf[k] for k, c in brute_counts(r.text).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * c[k] for k, x in v.items()) / size for c in model.centroids]
+        assert got[r.doc_id].score == pytest.approx(max(cos), abs=1e-6) and got[r.doc_id].lang_pred == model.langs[int(np.argmax(cos))]
+
+
+def test_samples_of_huge_groups_are_not_empty(spark):
+    """A share of one in 10^9 still takes rows: hashes are told apart to 53 bits."""
+    from tessera.llm.common import hash_share
+
+    x = spark.range(20_000).select(hash_share("id").alias("x")).toPandas().x
+    assert x.between(0, 1).all() and x.nunique() == 20_000 and abs(x.mean() - 0.5) < 0.01
+
+
 # op4
 
 
@@ -425,6 +468,27 @@ def test_quality(spark, odd, empty, docs, labels):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.quality_scores(docs, labels).where("predicted = 1").collect()}
 
 
+def test_quality_by_brute_force(spark, docs, labels):
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1)}
+    rows = {r.doc_id: np.array(quality.statistics(r.text)) for r in docs.collect()}
+    train = [i for i in rows if i in y and zlib.crc32(str(i).encode()) % 3 != 1]
+    x = np.array([rows[i] for i in train])
+    center, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-6))
+    z = {i: np.clip((v - center) / scale, -quality.CLIP, quality.CLIP) for i, v in rows.items()}
+    parts = [np.array([z[i] for i in train if y[i] == k]) for k in (0, 1)]
+    covs = [np.cov(p.T) for p in parts]
+    pool = sum(c * len(p) for c, p in zip(covs, parts, strict=True)) / len(train)
+    logs = []
+    for p, c in zip(parts, covs, strict=True):
+        c = (1 - quality.SHRINK_POOLED) * c + quality.SHRINK_POOLED * pool
+        c = (1 - quality.SHRINK_IDENTITY) * c + (quality.SHRINK_IDENTITY * np.trace(c) / len(c) + 1e-6) * np.eye(len(c))
+        inverse, (_, log_det), mean = np.linalg.inv(c), np.linalg.slogdet(c), p.mean(axis=0)
+        logs.append({i: math.log(len(p) / len(train)) - 0.5 * log_det - 0.5 * (v - mean) @ inverse @ (v - mean) for i, v in z.items()})
+    for r in quality.quality_scores(docs, labels).collect():
+        odds = logs[1][r.doc_id] - logs[0][r.doc_id]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, odds)))), abs=1e-6)
+
+
 # op8
 
 
@@ -726,3 +790,44 @@ def test_pipeline_against_brute_force(spark, docs, labels):
             parts[source[r.doc_id]] += 1  # the document where a source's budget ends
             assert r.n_tokens < len(ids)
     assert all(n == 1 for n in parts.values())
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, labels):
+    """Nulls in every column, repeated rows and extra columns go through every stage; an empty table stays empty."""
+    import corpus_pipeline
+
+    y = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)], "doc_id long, quality int, toxic int")
+    for df in (odd, clashing(odd), empty):
+        folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir')}/odd-{len(df.columns)}-{df.count()}"
+        y.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+        docs, n = df, df.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.mode("overwrite").parquet(f"{folder}/{k}")
+            out = spark.read.parquet(f"{folder}/{k}")
+            if k < 4:
+                assert out.columns == df.columns
+            if k < 3:
+                assert out.count() <= docs.count()
+            docs = out
+        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (docs.count() > 0) == (n > 0)
+
+
+def test_one_very_long_text(spark):
+    """A text of some megabytes, a copy with edits and one with a passage of it, through the operators that hold whole texts."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    stock = [prose(k, 1) for k in range(900)]
+    long = [r.choice(stock) for _ in range(400_000)]
+    near = list(long)
+    for k in r.sample(range(len(near)), 300):
+        near[k] = "edited"
+    rows = [(1, " ".join(long), "en", "s"), (2, " ".join(near), "en", "s"), (3, prose(5, 40) + " " + " ".join(long[1000:1200]), "en", "s"), (4, prose(6, 90), "en", "s")]
+    df = frame(spark, rows)
+    tok = Tokenizer.from_file(bpe.default_path())
+    got = {x.doc_id: x.ids_sha256 for x in bpe.encode(df, form=bpe.DIGESTS).collect()}
+    assert got == {i: hashlib.sha256(" ".join(map(str, tok.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t, *_ in rows}
+    assert near_classes(df) == [["1", "2"], ["3"], ["4"]]
+    gone = {x.doc_id: (x.n_bytes, x.n_removed) for x in substring_dedup.remove_repeats(df, digests=True).collect()}
+    assert gone[1][1] > 0.5 * gone[1][0] and gone[3][1] > 400 and gone[4][1] == 0
+    assert {x.doc_id: x.n_words for x in perplexity.perplexity_rules(df).collect()} == {i: len(words(t)) for i, t, *_ in rows}
