@@ -70,6 +70,19 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+def path_text(spark: SparkSession, path: str, text: str | None = None) -> str | None:
+    """A small file's text, None if there is no such file; with ``text`` writes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if text is None and not fs.exists(where):
+        return None
+    stream = fs.open(where) if text is None else fs.create(where, True)
+    try:
+        return bytes(stream.readAllBytes()).decode() if text is None else stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep an Arrow batch of long documents within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_groups, scratch_path, written
+from .common import SPACES, join_groups, path_text, scratch_path, written
 
+#: Buckets of a new index at least; more where the session shuffles into more parts.
 INDEX_BUCKETS = 64
 INDEX_SCHEMA = "digest STRING, keep_id BIGINT, group_size BIGINT"
 
@@ -31,11 +32,20 @@ def text_digest(text: str | Column = "text") -> Column:
 class DigestIndex:
     """One row per distinct text seen so far: digest, keep_id, group_size.
 
-    ``path`` lies in shared storage and outlives the session; a later session
-    opens the same path with the same number of buckets.
+    ``path`` lies in shared storage and outlives the session.  A new index has
+    as many ``buckets`` as the session's shuffles have parts, which should follow
+    the size of what it is to hold; the number is kept beside the data, and a
+    later session that asks for another one is refused.  ``group_size`` of a digest
+    counts the batch that brought it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = INDEX_BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        known = path_text(spark, f"{path}/_buckets")
+        if known and buckets not in (None, int(known)):
+            raise ValueError(f"the index at {path} has {known} buckets, not {buckets}")
+        buckets = int(known) if known else buckets or max(INDEX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if not known:
+            path_text(spark, f"{path}/_buckets", str(buckets))
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"tessera_digests_{uuid.uuid4().hex[:12]}"
         spark.sql(
@@ -79,7 +89,6 @@ def dedup_report(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     digests = written(docs.select("doc_id", text_digest().alias("digest")), "digests")
     own = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
     groups = written(digest_groups(digests), "digest-groups")
-    before = own.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old"))
     fresh = own.append(groups)
     if index is None:
         known = fresh
@@ -90,7 +99,6 @@ def dedup_report(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
         known = groups.join(new, "digest", "left").join(own.read().select("digest", F.col("keep_id").alias("old_id")), "digest", "left")
         known = known.select("digest", F.col("old_id").alias("keep_id"), "group_size", F.col("new").isNull().alias("old"))
         known = written(known, "digest-known")
-    del before
     out = join_groups(digests, known, "digest", "group_size", "inner")
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (~F.col("old") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"))
 
@@ -102,9 +110,10 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     id together, so a group of copies, however large, is spread over all tasks.
     """
     keep = dedup_report(docs, index).where("kept").select(F.col("text_sha256").alias("__digest"), F.col("doc_id").alias("__keep")).distinct()
-    # any column may break ties between rows of equal id and text; the fullest order is deterministic
+    # any column may break ties between rows of equal id and text, nested ones by their JSON
     marked = docs.withColumn("__d", text_digest())
     kept = marked.join(keep, (F.col("__d") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    others = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "struct", "array"))]
+    nested = lambda kind: kind.startswith(("map", "struct", "array", "variant"))
+    others = [F.to_json(F.struct(F.col(f"`{c}`"))) if nested(kind) else F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text")]
     once = Window.partitionBy("__d", "doc_id").orderBy(*(others or [F.lit(0)]))
     return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)

@@ -114,7 +114,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     each source gives exactly its budget.  Documents of which the mix takes
     nothing go.  Rows of equal id and size are treated as the same document.
     """
-    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).dropDuplicates(["__id", "__size"])
+    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    plan = plan.groupBy("__id", "__size").agg(F.max("__taken").alias("__taken"))
     cols = [F.col(c) for c in docs.columns]
     sized = docs.withColumn("__words", word_count())
     kept = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")), "inner")

@@ -146,7 +146,9 @@ def test_digest_index_persists(spark, tmp_path):
     first.close()
     again = exact_dedup.DigestIndex(spark, path, buckets=4)
     assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.dedup_report(b, again).collect()} == {(5, 1, False), (6, 6, True), (7, 6, False)}
-    assert again.read().count() == 3
+    assert again.read().count() == 3 and exact_dedup.DigestIndex(spark, path).buckets == 4
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, path, buckets=8)
     plan = again.read().join(again.read().hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
