@@ -81,11 +81,14 @@ def window_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
     return interval_join(left, right, key, left_ts, right_ts, -within, within)
 
 
-def as_of_join(stream: DataFrame, versions: DataFrame, keys: Sequence[str], ts: str, version: str, how: str = "inner", lookback: int | None = None) -> DataFrame:
+def as_of_join(stream: DataFrame, versions: DataFrame, keys: Sequence[str], ts: str, version: str, how: str = "inner", lookback: int | None = None, slots: int | None = None) -> DataFrame:
     """Each stream row with the latest version of its key at or before its time.
 
     Both sides are sorted together once per key and the last version seen is
-    carried along: one shuffle and no range explosion.  Versions precede stream
+    carried along: one shuffle and no range explosion.  With ``slots``, the time is
+    cut into so many (times are numbers then), a key's slots are sorted apart, and
+    the last version before a slot comes from a table of one row for each key and
+    slot: for a key with a large part of all rows, and the default without keys.  Versions precede stream
     rows of the same time.  With ``lookback``, versions older than the newest one
     by more than it have been evicted.  ``how`` is inner or left; no keys means
     one version history for all.  Version columns get the prefix ``v_``.
@@ -98,13 +101,37 @@ def as_of_join(stream: DataFrame, versions: DataFrame, keys: Sequence[str], ts:
     table = versions.where(F.col(version).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(version).alias("__t"), F.lit(0).alias("__side"), body.alias("__v"))
     rows = stream.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in stream.columns]).alias("__row"))
     both = table.unionByName(rows, allowMissingColumns=True)
-    w = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    ks = [f"__k{i}" for i in range(len(keys))]
+    slots = slots or (None if keys else NO_KEY_SLOTS)
+    if slots and dict(both.dtypes)["__t"] in ("tinyint", "smallint", "int", "bigint"):
+        both = _slotted(both, ks, slots)
+        ks = [*ks, "__slot"]
+    w = Window.partitionBy(*ks).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("__v", ignorenulls=True).over(w)
+    seen = both.withColumn("__last", F.coalesce(last, F.col("__prior")) if "__prior" in both.columns else last).where("__side = 1")
     if how == "inner":
         seen = seen.where("__last IS NOT NULL")
     return seen.select("__row.*", *[F.col(f"__last.{c}").alias(f"v_{c}") for c in names])
 
 
+#: Slots of time of an as-of join without keys.
+NO_KEY_SLOTS = 200
+
+
+def _slotted(both: DataFrame, ks: list[str], slots: int) -> DataFrame:
+    """Add ``__slot`` and ``__prior``, the last version of the key before the slot."""
+    low, high = both.agg(F.min("__t"), F.max("__t")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // slots))
+    both = both.withColumn("__slot", F.floor((F.col("__t") - F.lit(low or 0)) / width))
+    ends = both.groupBy(*ks, "__slot").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__t"))).alias("__end"))
+    before = Window.partitionBy(*ks).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"{k}_") for k in ks], F.col("__slot").alias("__slot_"), F.last("__end", ignorenulls=True).over(before).alias("__prior"))
+    same = F.col("__slot") == F.col("__slot_")
+    for k in ks:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return both.join(ends, same).drop("__slot_", *[f"{k}_" for k in ks])
+
+
 def split_late(df: DataFrame, ts: str, watermark: int | Column, threshold: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows in time, late rows): late is earlier than the watermark by more than ``threshold``; a NULL time is an error."""
     timed = df.withColumn(ts, F.when(F.col(ts).isNull(), F.raise_error(F.lit("event time is NULL")).cast("long")).otherwise(F.col(ts)))

@@ -71,11 +71,12 @@ _STREAM = f"(SELECT event_id, user_id, ms FROM {_E} WHERE event_type = 'purchase
 _VERSIONS = f"(SELECT user_id, ms, max(event_id) AS v FROM {_E} WHERE event_type = 'signup' GROUP BY 1, 2)"
 
 
-def _as_of(spark: S, d: str, how: str) -> DF:
+def _as_of(spark: S, d: str, how: str, keys: tuple[str, ...] = ("user_id",), slots: int | None = None) -> DF:
     e = timed(spark, d)
     stream = e.where("event_type = 'purchase'").select("event_id", "user_id", "ms")
     versions = e.where("event_type = 'signup'").groupBy("user_id", "ms").agg(F.max("event_id").alias("v"))
-    return events.as_of_join(stream, versions, ["user_id"], "ms", "ms", how).select("event_id", F.col("v_v").alias("v"))
+    out = events.as_of_join(stream, versions, keys, "ms", "ms", how, slots=slots)
+    return out.select("event_id", F.col("v_v").alias("v")) if keys else out.select("event_id", F.col("v_ms").alias("at"))
 
 
 @register("temporal_join_inner", f"SELECT s.event_id, t.v FROM {_STREAM} s ASOF JOIN {_VERSIONS} t ON s.user_id = t.user_id AND s.ms >= t.ms")
@@ -88,6 +89,16 @@ def temporal_left(spark: S, d: str) -> DF:
     return _as_of(spark, d, "left")
 
 
+@register("temporal_join_slots", f"SELECT s.event_id, t.v FROM {_STREAM} s ASOF LEFT JOIN {_VERSIONS} t ON s.user_id = t.user_id AND s.ms >= t.ms")
+def temporal_slots(spark: S, d: str) -> DF:
+    return _as_of(spark, d, "left", slots=40)
+
+
+@register("temporal_join_no_key", f"SELECT s.event_id, t.ms AS at FROM {_STREAM} s ASOF LEFT JOIN (SELECT DISTINCT ms FROM {_VERSIONS}) t ON s.ms >= t.ms")
+def temporal_no_key(spark: S, d: str) -> DF:
+    return _as_of(spark, d, "left", keys=())
+
+
 @register("late_side_output", f"SELECT event_id, ms < 1705000000000 AS late FROM {_E}")
 def late_side_output(spark: S, d: str) -> DF:
     on_time, late = events.split_late(timed(spark, d), "ms", 1_705_000_000_000)
