@@ -299,3 +299,31 @@ def stream_early_fire(spark: S, d: str) -> DF:
     got = spark.read.parquet(out)
     last = got.groupBy("user_id", "window_start_ms").agg(F.max_by("n", "batch").alias("n"))
     return last.select("user_id", "window_start_ms", "n")
+
+
+@register("stream_push_poll", f"SELECT event_type, count(*) AS n FROM {_E} WHERE value > 10 GROUP BY 1")
+def stream_push_poll(spark: S, d: str) -> DF:
+    """Batches pushed by hand; a job opened anew polls what the first left."""
+    from tessera.streaming.delivery import ContinuousJob
+
+    e, path = timed(spark, d).select("event_type", "value"), state_path(spark, "job")
+    made = lambda: ContinuousJob(spark, path, e.schema, lambda df: df.where("value > 10").select("event_type"))
+    job = made()
+    job.push(e.where("value < 50"))
+    first = job.poll()
+    job.push(e.where("value >= 50"))
+    second = made().poll()
+    return first.unionByName(second).unionByName(made().poll()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_checked", f"SELECT event_id, value > 100 AS broken FROM {_E}")
+def stream_checked(spark: S, d: str) -> DF:
+    from tessera.operators.quality import Rule
+    from tessera.streaming.frame import StreamWriter
+
+    out = state_path(spark, "checked")
+    df = _stream(spark, d).df.select("event_id", "value")
+    put = lambda broken: lambda batch, n: batch.select("event_id", F.lit(broken).alias("broken")).write.mode("append").parquet(out)
+    w = StreamWriter(df).checked([Rule("high", "value", "range", "reject", None, 100.0)], put(False), put(True))
+    w.checkpoint(state_path(spark, "stream-state")).trigger("available_now").start().awaitTermination()
+    return spark.read.parquet(out)

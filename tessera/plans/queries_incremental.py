@@ -152,3 +152,32 @@ def ivm_join_left_nulls(spark: S, d: str) -> DF:
     flow.feed("orders_src", ZSet.deletes(orders.where("o_totalprice < 100000")))
     flow.step()
     return flow.snapshot("v")
+
+
+@register("ivm_partitioned", f"SELECT o_custkey, count(*) AS n, sum(price)::BIGINT AS total FROM {_SRC} GROUP BY 1")
+def ivm_partitioned(spark: S, d: str) -> DF:
+    from tessera.ivm import PartitionedFlow
+
+    flow, orders = PartitionedFlow(spark, 3, {"orders_src": "o_custkey"}), _orders(spark, d)
+    flow.register_source("orders_src", orders)
+    flow.register_view("v", "SELECT o_custkey, count(*) AS n, sum(price) AS total FROM orders_src GROUP BY o_custkey")
+    _ticks(flow, orders)
+    return flow.snapshot("v")
+
+
+@register("ivm_vector_view", "SELECT vec_id, label FROM embeddings WHERE label <> 0 AND vec_id >= 10")
+def ivm_vector_view(spark: S, d: str) -> DF:
+    """A collection that follows a view: inserted in two ticks, some taken back."""
+    from tessera.sources.vector import VectorCollection
+    from tessera.sources.versioned import VersionedTable
+    from tessera.storage import state_path
+
+    rows = table(spark, d, "embeddings")
+    flow, kept = IncrementalFlow(spark), VectorCollection(VersionedTable(spark, state_path(spark, "vectors")))
+    flow.register_source("vec_src", rows)
+    flow.register_view("vec_view", "SELECT vec_id, embedding, label FROM vec_src WHERE label <> 0")
+    kept.follow(flow, "vec_view")
+    for z in (ZSet.inserts(rows.where("vec_id < 200")), ZSet.inserts(rows.where("vec_id >= 200")), ZSet.deletes(rows.where("vec_id < 10"))):
+        flow.feed("vec_src", z)
+        flow.step()
+    return kept.table.read().select("vec_id", "label")

@@ -53,3 +53,19 @@ class VectorCollection:
 
     def query_nearest(self, query: Sequence[float], k: int, metric: str = "cosine", where: str | None = None) -> DataFrame:
         return nearest(self.table.read(), query, k, self.vector, self.id_column, metric, where)
+
+    def follow(self, flow, view: str) -> None:
+        """Keep the collection equal to an incremental view: each tick's new rows are put in, those taken back go.
+
+        The view has the id and the vector among its columns, and one row for each id.
+        """
+
+        def apply(delta: DataFrame) -> None:
+            new = delta.where("_weight > 0").drop("_weight")
+            gone = delta.where("_weight < 0").select(self.id_column).join(new.select(self.id_column), self.id_column, "left_anti")
+            if self.table.exists() and not gone.isEmpty():
+                self.delete_by_ids(gone)
+            if not new.isEmpty():
+                self.upsert_batch(new)
+
+        flow.watch(view, apply)

@@ -189,3 +189,34 @@ def _fields(ddl: str):
     from pyspark.sql import types as T
 
     return T._parse_datatype_string(ddl).fields
+
+
+class ContinuousJob:
+    """A stream that is fed and read by hand: push batches, poll for what they give.
+
+    Pushed batches are files of a folder, and a poll runs the stream until it has
+    taken them all.  Everything lies under ``path``, so a job that opens the same
+    path again carries on where the last one stopped: what was pushed but not
+    polled is taken then, and what was polled comes no more.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, build: Callable[[DataFrame], DataFrame], mode: str = "append"):
+        from .frame import file_stream
+
+        self.spark, self.path, self.mode = spark, path.rstrip("/"), mode
+        filesystem(spark, f"{self.path}/in")[0].mkdirs(filesystem(spark, f"{self.path}/in")[1])
+        self.df = build(file_stream(spark, f"{self.path}/in", schema))
+        self.sink = TwoPhaseParquetSink(f"{self.path}/out")
+
+    def push(self, batch: DataFrame) -> None:
+        batch.write.mode("append").parquet(f"{self.path}/in")
+
+    def poll(self) -> DataFrame:
+        """The rows that came out since the last poll."""
+        before = set(self.sink.epochs(self.spark))
+        w = self.df.writeStream.outputMode(self.mode).option("checkpointLocation", f"{self.path}/checkpoint")
+        w.trigger(availableNow=True).foreachBatch(self.sink).start().awaitTermination()
+        new = [e for e in self.sink.epochs(self.spark) if e not in before]
+        if not new:
+            return self.spark.createDataFrame([], self.df.schema)
+        return self.spark.read.schema(self.df.schema).parquet(*[f"{self.path}/out/epoch={e}" for e in new])

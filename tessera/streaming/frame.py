@@ -208,6 +208,20 @@ class StreamWriter:
 
         return self.foreach_batch(TwoPhaseParquetSink(path, partition_by))
 
+    def checked(self, rules, accept: Callable[[DataFrame, int], None], reject: Callable[[DataFrame, int], None] | None = None, report: Callable[[dict, int], None] | None = None) -> StreamWriter:
+        """Quality rules on every batch: rows that break none go to ``accept``, the others, with what they break, to ``reject``."""
+        from tessera.operators.quality import check
+
+        def apply(df: DataFrame, n: int) -> None:
+            good, bad, counts = check(df, rules)
+            accept(good, n)
+            if reject:
+                reject(bad, n)
+            if report:
+                report(counts.first().asDict(), n)
+
+        return self.foreach_batch(apply)
+
     def append_to(self, table) -> StreamWriter:
         """Append to a versioned table, each batch once: a batch's number is kept with its version."""
 
