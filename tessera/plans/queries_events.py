@@ -327,3 +327,12 @@ def stream_checked(spark: S, d: str) -> DF:
     w = StreamWriter(df).checked([Rule("high", "value", "range", "reject", None, 100.0)], put(False), put(True))
     w.checkpoint(state_path(spark, "stream-state")).trigger("available_now").start().awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("window_sql_compiled", f"SELECT user_id, ms - ms % {24 * HOUR} AS window_start_ms, count(*) AS n, round(sum(value), 2) AS total FROM {_E} WHERE value > 5 GROUP BY 1, 2 HAVING count(*) > 1")
+def window_sql_compiled(spark: S, d: str) -> DF:
+    """A windowed statement as a stream: compiled, run to its end, filtered by its HAVING."""
+    from tessera.streaming.frame import compile_window_sql
+
+    spec = compile_window_sql("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value > 5 GROUP BY user_id, TUMBLE(ms, INTERVAL '1' DAY) HAVING n > 1")
+    return _finish(spec.apply(_stream(spark, d).df), "complete").select("user_id", "window_start_ms", "n", "total")

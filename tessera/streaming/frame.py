@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,6 +143,64 @@ class StreamingFrame:
         return StreamWriter(df if df is not None else self.df)
 
 
+_WINDOW_SQL = re.compile(
+    r"(?is)^\s*SELECT\s+(?P<list>.+?)\s+FROM\s+(?P<src>\w+)(?:\s+WHERE\s+(?P<where>.+?))?\s+GROUP\s+BY\s+(?P<by>.+?)(?:\s+HAVING\s+(?P<having>.+?))?\s*;?\s*$"
+)
+_WINDOW_CALL = re.compile(r"(?is)^(TUMBLE|HOP|SESSION)\s*\((.+)\)$")
+
+
+@dataclass(frozen=True)
+class WindowSpec:
+    """What a windowed statement asks of a stream."""
+
+    source: str
+    keys: tuple[str, ...]
+    event_time: str
+    window: tuple
+    aggregates: tuple[str, ...]
+    where: str | None = None
+    having: str | None = None
+
+    def apply(self, df: DataFrame, lag_ms: int = 0) -> DataFrame:
+        """(keys, window_start_ms, window_end_ms, aggregates), bounded or not."""
+        rows = df.where(self.where) if self.where else df
+        out = StreamingFrame(rows, self.event_time, lag_ms, self.keys, self.window).aggregate(*[F.expr(a) for a in self.aggregates])
+        return out.where(self.having) if self.having else out
+
+
+def compile_window_sql(sql: str) -> WindowSpec:
+    """``SELECT keys, aggregates AS names FROM source GROUP BY keys, TUMBLE(ts, size)``, or HOP(ts, slide, size), or SESSION(ts, gap).
+
+    Sizes are intervals like ``INTERVAL '1' HOUR``.  HAVING names the aggregates
+    by their aliases.  Anything else is an error.
+    """
+    from tessera.plans import dialect
+
+    m = _WINDOW_SQL.match(sql)
+    if not m:
+        raise ValueError("not a windowed aggregate")
+    by = dialect.split_arguments(m["by"])
+    calls = [c for b in by if (c := _WINDOW_CALL.match(b.strip()))]
+    keys = tuple(b.strip() for b in by if not _WINDOW_CALL.match(b.strip()))
+    if len(calls) != 1 or any(not re.fullmatch(r"\w+", k) for k in keys):
+        raise ValueError("GROUP BY takes plain columns and one window")
+    kind, (ts, *sizes) = calls[0][1].upper(), [a.strip() for a in dialect.split_arguments(calls[0][2])]
+    ms = []
+    for x in sizes:
+        i = re.fullmatch(r"(?i)INTERVAL\s+'(\d+)'\s+(\w+)", x)
+        if not i:
+            raise ValueError(f"{x} is not an interval")
+        ms.append(dialect.milliseconds(f"{i[1]} {i[2]}"))
+    if len(ms) != (2 if kind == "HOP" else 1):
+        raise ValueError(f"{kind} takes {2 if kind == 'HOP' else 1} intervals")
+    window = {"TUMBLE": ("tumbling", *ms), "HOP": ("sliding", ms[-1], ms[0]), "SESSION": ("session", *ms)}[kind]
+    items = [x.strip() for x in dialect.split_arguments(m["list"])]
+    aggregates = tuple(x for x in items if x not in keys and x.lower() not in ("window_start_ms", "window_end_ms"))
+    if any(not re.search(r"(?i)\)\s+AS\s+\w+$", a) for a in aggregates):
+        raise ValueError("aggregates need names")
+    return WindowSpec(m["src"], keys, ts, window, aggregates, m["where"], m["having"])
+
+
 class LateSplitter:
     """For foreachBatch: sends rows later than the last batch's watermark, less a threshold, to a side output."""
 

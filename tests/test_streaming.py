@@ -86,3 +86,16 @@ def test_registry_messages(spark):
     rows = [(bytes([0, 0, 0, 0, 7]) + b'{"a": 1}',), (bytes([0, 0, 0, 1, 8]) + b'{"a": 2, "b": "x"}',), (bytes([0, 0, 0, 0, 9]) + b"{}",), (b"plain",), (None,)]
     got = decode_registered(spark.createDataFrame(rows, "value binary"), "value", {7: "a INT", 264: "a INT, b STRING"}).collect()
     assert [None if r.decoded is None else (r.decoded.a, r.decoded.b) for r in got] == [(1, None), (2, "x"), None, None, None]
+
+
+def test_window_statements(spark):
+    import pytest
+
+    from tessera.streaming.frame import compile_window_sql
+
+    spec = compile_window_sql("SELECT k, sum(v) AS s FROM src GROUP BY k, HOP(ts, INTERVAL '5' MINUTE, INTERVAL '1' HOUR)")
+    assert spec.window == ("sliding", 3_600_000, 300_000) and spec.keys == ("k",) and spec.source == "src"
+    assert compile_window_sql("SELECT count(*) AS n FROM src GROUP BY SESSION(ts, INTERVAL '10' SECOND)").window == ("session", 10_000)
+    for bad in ("SELECT 1", "SELECT k, sum(v) AS s FROM src GROUP BY k", "SELECT sum(v) FROM src GROUP BY TUMBLE(ts, INTERVAL '1' HOUR)", "SELECT sum(v) AS s FROM src GROUP BY HOP(ts, INTERVAL '1' HOUR)", "SELECT sum(v) AS s FROM src GROUP BY TUMBLE(ts, 5)"):
+        with pytest.raises(ValueError):
+            compile_window_sql(bad)
