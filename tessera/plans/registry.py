@@ -47,4 +47,4 @@ def shared_sql(name: str, sql: str, tables: str, duck: str | None = None) -> Non
 
 
 # the modules register their queries
-from . import queries_events, queries_functions, queries_incremental, queries_lake, queries_relational, queries_sql  # noqa: E402, F401
+from . import queries_events, queries_functions, queries_incremental, queries_lake, queries_relational, queries_sql, queries_statements  # noqa: E402, F401
