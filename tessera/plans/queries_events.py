@@ -171,15 +171,15 @@ def match_stages(spark: S, d: str) -> DF:
 
 
 def _stream(spark: S, d: str):
-    """Events as a bounded stream of two files in time order, and a flush row after the last."""
+    """Events as a bounded stream of two batches in time order, as many files each as tasks run at a time."""
     from tessera.streaming.frame import StreamingFrame, file_stream
 
     e = timed(spark, d)
     path = state_path(spark, "stream")
-    edge = 1_705_276_800_000
-    e.where(F.col("ms") < edge).coalesce(1).write.mode("append").parquet(path)
-    e.where(F.col("ms") >= edge).coalesce(1).write.mode("append").parquet(path)
-    return StreamingFrame(file_stream(spark, path, e.schema, files_per_trigger=1), "ms", 60 * 24 * HOUR, ("user_id",))
+    edge, n = 1_705_276_800_000, spark.sparkContext.defaultParallelism
+    e.where(F.col("ms") < edge).repartition(n).write.mode("append").parquet(path)
+    e.where(F.col("ms") >= edge).repartition(n).write.mode("append").parquet(path)
+    return StreamingFrame(file_stream(spark, path, e.schema, files_per_trigger=n), "ms", 60 * 24 * HOUR, ("user_id",))
 
 
 def _finish(df: DF, mode: str) -> DF:
