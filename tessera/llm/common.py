@@ -150,27 +150,28 @@ def split_join(rows: DataFrame, key: str, hot: DataFrame, values: DataFrame, few
     return rows.join(hot, key, "left_anti").join(values, key, how).unionByName(rows.join(hot, key, "left_semi").join(few, key, how))
 
 
-#: Bits of the fixed-size filters made by ``bitmap``.
-FILTER_BITS = 24
+#: Filters made by ``bitmap`` have two to the power of one of these bits: at least, and at most (32 MB).
+FILTER_BITS, MOST_FILTER_BITS = 24, 28
 
 
 def bitmap(keys: DataFrame, key: str):
-    """A bitmap of all binary ``key`` values by their first 32 bits, of fixed size whatever the number of keys.
+    """A bitmap of all binary ``key`` values by their first 32 bits: 16 bits for each of the ``keys``, up to a size that is proven.
 
-    Spark puts its words together in at most 2^(FILTER_BITS - 5) rows.  A key
+    Spark puts its words together in at most 2^(MOST_FILTER_BITS - 5) rows.  A key
     may be in it by mistake but is never missed, so whoever uses it must do
-    with too much and gets the same result.
+    with too much and gets the same result.  ``keys`` should be a written table.
     """
     import numpy as np
 
-    place = F.conv(F.substring(F.hex(key), 1, 8), 16, 10).cast("long") % (1 << FILTER_BITS)
+    size = 1 << min(MOST_FILTER_BITS, max(FILTER_BITS, (16 * keys.count()).bit_length()))
+    place = F.conv(F.substring(F.hex(key), 1, 8), 16, 10).cast("long") % size
     placed = keys.select(place.alias("place")).selectExpr("place div 32 AS at", "shiftleft(1L, CAST(place % 32 AS INT)) AS bit")
     rows = placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
+    bits = np.zeros(size // 32, dtype=np.uint32)
     bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return bits
 
 
 def in_bitmap(bits, key: bytes) -> bool:
-    place = int.from_bytes(key[:4], "big") % (1 << FILTER_BITS)
+    place = int.from_bytes(key[:4], "big") % (32 * len(bits))
     return bool(bits[place >> 5] >> (place & 31) & 1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, arrow_map, bitmap, discard, hash_share, in_bitmap, join_groups, small_batches, written
+from .common import arrow_map, bitmap, discard, hash_share, in_bitmap, join_groups, small_batches, written
 from .suffix_merge import common_prefix, front_code, merge, read_run
 
 WIDTH, GRAM = 400, 64
@@ -214,9 +214,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 seen[k] = seen.get(k, 0) + 1
         return {"kh": list(seen), "n": list(seen.values())}
 
-    twice_ = arrow_map(texts, hashes, "kh long, n long").groupBy("kh").agg(F.sum("n").alias("n")).where("n > 1")
+    twice_ = written(arrow_map(texts, hashes, "kh long, n long").groupBy("kh").agg(F.sum("n").alias("n")).where("n > 1").select("kh"), "repeat-anchors")
     # big-endian bytes of the hash, as the bitmap reads them
     known = spark.sparkContext.broadcast(bitmap(twice_.select(F.unhex(F.lpad(F.hex("kh"), 16, "0")).alias("key")), "key"))
+    discard(twice_)
 
     def anchors(b):
         out, bits_ = {k: [] for k in ("kh", "u", "dk", "at", "lo", "hi")}, known.value
@@ -225,7 +226,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             kh, at, lo, hi = runs(raw)
             if not len(kh):
                 continue
-            place = (kh.view(np.uint64) >> np.uint64(32)) % np.uint64(1 << FILTER_BITS)
+            place = (kh.view(np.uint64) >> np.uint64(32)) % np.uint64(32 * len(bits_))
             pick = np.flatnonzero((bits_[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
             if not len(pick):
                 continue
