@@ -36,7 +36,7 @@ WIDE, NARROW, NARROW_ROWS = 16, 64, 8
 #: Pairs whose samples agree so rarely that this share of links does are not verified.
 LOST = 1e-4
 #: A cell holds about so many strangers and so many nodes of a bucket.
-STRANGERS, BLOCK = 128, 512
+STRANGERS, BLOCK = 128, 256
 #: Of each stranger and cell so many pairs, those that agree best, are verified before all the others.
 BEST = 2
 #: Texts of more shingles than this are verified pair by pair, so that a cell's memory stays bounded.
