@@ -25,10 +25,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_PARTS, WORD, arrow_map, discard, small_batches, written
+from .common import WORD, arrow_map, bitmap, discard, in_bitmap, small_batches, written
 
 ORDER = 5
 #: So many n-grams are broadcast for scoring, 12 bytes each; which ones changes the work, not the results.
@@ -139,21 +140,44 @@ def repeated_words(words: list[str], width: int = 5, ids: np.ndarray | None = No
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(lang, g, h, c): each n-gram of all documents, its hash and how often it occurs.
 
-    The at most HOT_PARTS texts that make up more than a thousandth of all rows
-    each (in small tables, all that repeat) count once, by their smallest id.
+    Texts that repeat in one language count once, in tables of any size.  A text
+    whose digest no other row has is counted where it stands; the others, and what
+    the filter of their digests takes for one of them, meet by digest, one of each
+    from a task, and are counted there.
     """
-    known = docs.select("doc_id", "text", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.xxhash64("text").alias("key"))
-    floor = max(docs.count() // HOT_PARTS, 1)
-    often = known.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > floor)
-    copied = {(r["lang"], r["key"]): r["first"] for r in often.collect()}
+    known = docs.where("text IS NOT NULL").select("text", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    copied = written(known.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "perplexity-copied")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(copied, "key"))
+    discard(copied)
+
+    def pick(batches):
+        sent = set()
+        for b in batches:
+            at = []
+            for i, (lang, key) in enumerate(zip(b.column("lang").to_pylist(), b.column("key").to_pylist(), strict=True)):
+                if in_bitmap(bits.value, key) and (lang, key) not in sent:
+                    if len(sent) > 200_000:
+                        sent.clear()
+                    sent.add((lang, key))
+                    at.append(i)
+            if at:
+                yield b.take(pa.array(at))
+
+    once = known.mapInArrow(pick, known.schema).dropDuplicates(["lang", "key"])
+    counted = _counted(known, bits).unionByName(_counted(once, None))
+    return counted.groupBy("lang", "h").agg(F.max("g").alias("g"), F.sum("c").alias("c"))
+
+
+def _counted(known: DataFrame, left_out) -> DataFrame:
+    """(lang, g, h, c), several rows for an n-gram, of the (text, lang, key) whose key isn't in the bitmap ``left_out``."""
 
     def state():
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def each(b):
             by_lang: dict[str, list[str]] = {}
-            for i, text, lang, key in zip(b["doc_id"], b["text"], b["lang"], b["key"], strict=True):
-                words = WORD.findall(text or "") if copied.get((lang, key), i) == i else ()
+            for text, lang, key in zip(b["text"], b["lang"], b["key"], strict=True):
+                words = WORD.findall(text) if left_out is None or not in_bitmap(left_out.value, key) else ()
                 if words:
                     by_lang.setdefault(lang, []).append(" ".join(words))
             out = {"lang": [], "g": [], "h": [], "c": []}
@@ -189,8 +213,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         each.finish = finish
         return each
 
-    counted = arrow_map(known, None, "lang string, g string, h long, c long", state)
-    return counted.groupBy("lang", "h").agg(F.max("g").alias("g"), F.sum("c").alias("c"))
+    return arrow_map(known, None, "lang string, g string, h long, c long", state)
 
 
 def _counts(c: Column) -> list[Column]:

@@ -424,6 +424,18 @@ def test_kneser_ney_equals_its_definition(spark, docs):
     assert all(0.9 < x <= 1 + 1e-9 for x in per.values())
 
 
+def test_copies_count_once_in_tables_of_any_size(spark):
+    """Few copies among thousands of rows count as they do among a few, also with null and repeated ids, and by language."""
+    copies = [(i % 3 or None, f"{t} copy", lang, "s") for i, t in enumerate(["ab", "cd", "ef"] * 2) for lang in ("en", None)] + [(7, "x y", "en", "s")] * 2 + [(8, "x  y", "en", "s"), (9, None, "en", "s")]
+    for others in (0, 3000):
+        rows = copies + [(100 + i, f"t{i}", "en", "s") for i in range(others)]
+        want = Counter()
+        for t, lang in {(t, lang or "") for _, t, lang, _ in rows if t}:
+            s = "\n" * (perplexity.ORDER - 1) + " ".join(words(t)) + "\n"
+            want.update((lang, s[k : k + perplexity.ORDER]) for k in range(len(s) - perplexity.ORDER + 1))
+        assert {(r.lang, r.g): r.c for r in perplexity.count_ngrams(frame(spark, rows)).collect()} == want
+
+
 def test_scores_are_those_of_the_model(spark, docs):
     rows = [(r.doc_id, r.text, r.lang, "s") for r in docs.limit(40).collect()] + [(1000 + i, script_prose("ru", i), "ru", "s") for i in range(5)]
     df, made = frame(spark, rows), {}
