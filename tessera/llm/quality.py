@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_map, fold, small_batches, written
+from .common import WORD, arrow_map, fold, give_back, small_batches, written
 
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "punctuation", "letters", "distinct_words", "line_repeats", "compression", "word_entropy", "short_lines")
 #: Weight of the pooled covariance, and of the scaled identity.
@@ -212,5 +212,7 @@ def accepted(docs: DataFrame, labels: DataFrame, parts: int = 3, out: int = 1) -
                 x = np.array([statistics(t) for t in b.column(columns.index("text")).to_pylist()])
                 b = b.filter(pa.array(m.score(x) >= 0.5))
             yield b
+            b = None
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)

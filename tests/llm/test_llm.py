@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, components, exact_dedup, language_id, minhash, mixing, perplexity, quality, substring_dedup, suffix_merge, toxicity, url_filter
 from tessera.llm.common import bitmap, in_bitmap, join_groups
 
-from ..conftest import SF, same_rows
+from ..conftest import ROOT, SF, same_rows
 
 WORDS = re.compile("[^ \t\n\x0b\x0c\r]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,6 +69,34 @@ def clashing(df):
     return df
 
 
+def test_tasks_give_their_memory_back():
+    """What a task of long texts and many small objects took is with the system again when it ends, as its worker lives on."""
+    code = """
+import re, sys
+from types import SimpleNamespace
+import pyarrow as pa
+from pyspark.sql.types import StringType, StructField, StructType
+from tessera.llm.common import arrow_map
+
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    for k in range(8):
+        yield pa.RecordBatch.from_pydict({"text": pa.array([f"{k} {i} " * 40 for i in range(40_000)])})
+
+run = arrow_map(SimpleNamespace(mapInArrow=lambda f, schema: f), lambda b: {"text": [t.upper() for t in b["text"]]}, StructType([StructField("text", StringType())]))
+next(run(iter([pa.RecordBatch.from_pydict({"text": ["a"]})])))
+before = mb()
+for _ in run(batches()):
+    pass
+del _
+print(mb() - before)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout)
+    assert grown < 16
+
+
 # op1
 
 
