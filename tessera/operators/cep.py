@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +43,10 @@ def advance(state: tuple[int, int] | None, ts: int, is_stage, stages: int, withi
     """One step of the matcher: (new state, event taken, match complete).
 
     The state is (next stage, start time).  A partial match is given up when more
-    than ``within`` has passed since its start, and the event may begin a new one.
+    than ``within`` has passed since its start, and the event may begin a new one;
+    so it is where a time is NaN, which no limit holds.
     """
-    if state is not None and ts - state[1] > within:
+    if state is not None and not ts - state[1] <= within:
         state = None
     if state is None:
         if not is_stage(0):
@@ -57,76 +58,65 @@ def advance(state: tuple[int, int] | None, ts: int, is_stage, stages: int, withi
     return (None, True, True) if nxt == stages else ((nxt, state[1]), True, False)
 
 
+def _matched(df: DataFrame, key: str, ts: str, ties: Sequence[str], stages: Sequence[str | None], within: int, stage: str | None) -> DataFrame:
+    """Rows of complete matches; without ``stage`` every row is whatever stage comes next.
+
+    Keys are sorted one after the other into the tasks, and a task steps through
+    its rows batch by batch, so there is no call for each key.  What it holds are
+    a batch and the rows of the one match that is open.
+    """
+    numbered = [T.StructField("match_id", T.LongType()), T.StructField("match_stage", T.IntegerType())]
+    # intervals of months have no Arrow type and travel as text
+    texts = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, T.YearMonthIntervalType | T.CalendarIntervalType)}
+    carried = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns])
+    schema, n_stages = T.StructType([*carried.schema.fields, *numbered]), len(stages)
+    first = F.lag(F.lit(False), 1, True).over(Window.partitionBy(key).orderBy(ts, *ties))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, done_of_key, held = None, 0, None
+        for batch in batches:
+            # the rows of the open match come first
+            taken = list(range(held.num_rows)) if held is not None else []
+            batch = pa.concat_batches([held, batch]) if taken else batch
+            rows, ids = [], []
+            begins, times = batch.column("__first").to_pylist(), batch.column(ts).to_pylist()
+            kinds = batch.column(stage).to_pylist() if stage is not None else None
+            for i in range(len(taken), batch.num_rows):
+                if begins[i]:
+                    state, done_of_key = None, 0
+                before = state
+                state, used, done = advance(state, times[i], lambda k, i=i: kinds is None or kinds[i] == stages[k], n_stages, within)
+                if used:
+                    if before is None or state is not None and state[0] == 1 or n_stages == 1:
+                        taken = []
+                    taken.append(i)
+                if done:
+                    rows += taken
+                    ids += [done_of_key] * n_stages
+                    done_of_key += 1
+                    taken = []
+            held = batch.take(pa.array(taken if state is not None else [], pa.int64()))
+            out = batch.drop_columns(["__first"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ids, pa.int64()), pa.array([*range(n_stages)] * (len(ids) // n_stages), pa.int32())], schema.names)
+
+    got = carried.withColumn("__first", first).mapInArrow(run, schema)
+    return got.select(*[F.col(f"`{f.name}`").cast(texts[f.name]).alias(f.name) if f.name in texts else F.col(f"`{f.name}`") for f in schema])
+
+
 def match_stages(df: DataFrame, key: str, ts: str, stage: str, pattern: Pattern, ties: Sequence[str] = ()) -> DataFrame:
     """Rows that take part in complete matches, with ``match_id`` and ``match_stage``; ``stage`` names each row's stage.
 
     One partial match a key at a time.  Only rows of the pattern's stages are
     sent to the matcher, a key's rows in order.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("match_id", T.LongType()), T.StructField("match_stage", T.IntegerType())])
-    stages, within = pattern.stages, pattern.within_ms
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, *ties], kind="stable")
-        state, taken, out, n = None, [], [], 0
-        for i, (t, s) in enumerate(zip(pdf[ts], pdf[stage], strict=True)):
-            before = state
-            state, used, done = advance(state, t, lambda k, s=s: s == stages[k], len(stages), within)
-            if used and (before is None or state is not None and state[0] == 1 or done and len(stages) == 1):
-                taken = []
-            if used:
-                taken.append(i)
-            if done:
-                out += [(j, n, k) for k, j in enumerate(taken)]
-                n += 1
-        got = pdf.iloc[[j for j, _, _ in out]].copy()
-        got["match_id"] = [m for _, m, _ in out]
-        got["match_stage"] = [k for _, _, k in out]
-        return got
-
-    return df.where(F.col(stage).isin(*stages) & F.col(ts).isNotNull()).groupBy(key).applyInPandas(run, schema)
+    rows = df.where(F.col(stage).isin(*pattern.stages) & F.col(ts).isNotNull())
+    return _matched(rows, key, ts, ties, pattern.stages, pattern.within_ms, stage)
 
 
 def match_any(df: DataFrame, key: str, ts: str, n_stages: int, within_ms: int = DEFAULT_WITHIN_MS, ties: Sequence[str] = ()) -> DataFrame:
     """Matches without conditions on the rows: every row is the next stage of its key's match.
 
     So matches are consecutive groups of ``n_stages`` rows, restarted when a row
-    comes more than ``within_ms`` after its match began.  No match spans a pause
-    longer than that, so a key's rows fall into stretches between such pauses.
-    In stretches that last no longer than the limit, matches are plain groups of
-    rows; only longer ones are stepped through, each by itself, by their times.
+    comes more than ``within_ms`` after its match began.
     """
-    order = [F.col(ts), *[F.col(c) for c in ties]]
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = df.where(F.col(ts).isNotNull())
-    # one order for all that follows, also among rows of equal time
-    rows = rows.withColumn("__n", F.row_number().over(w)).withColumn("__before", F.lag(ts).over(w))
-    byrow = Window.partitionBy(key).orderBy("__n")
-    rows = rows.withColumn("__stretch", F.sum(F.when(F.col(ts) - F.col("__before") > within_ms, 1).otherwise(0)).over(byrow))
-    whole = Window.partitionBy(key, "__stretch")
-    rows = rows.withColumn("__i", F.row_number().over(whole.orderBy("__n")) - 1).withColumn("__size", F.count(F.lit(1)).over(whole)).withColumn("__long", F.max(ts).over(whole) - F.min(ts).over(whole) > within_ms)
-    rows = rows.withColumn("match_stage", F.when(~F.col("__long") & (F.col("__i") < F.col("__size") - F.col("__size") % n_stages), (F.col("__i") % n_stages).cast("int")))
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__n")
-        times, start, count, stages = pdf[ts].to_numpy(), 0, 0, [-1] * len(pdf)
-        for i in range(len(times)):
-            if count and times[i] - times[start] > within_ms:
-                count = 0
-            if not count:
-                start = i
-            count += 1
-            if count == n_stages:
-                stages[start : i + 1] = range(n_stages)
-                count = 0
-        return pd.DataFrame({"__key": pdf["__key"], "__n": pdf["__n"], "__stage": stages})
-
-    kind = df.schema[key].dataType
-    stepped = T.StructType([T.StructField("__key", kind), T.StructField("__n", T.IntegerType()), T.StructField("__stage", T.IntegerType())])
-    asked = rows.where("__long").select(F.col(key).alias("__key"), "__stretch", "__n", ts)
-    found = asked.groupBy("__key", "__stretch").applyInPandas(step, stepped).where("__stage >= 0")
-    short = rows.where("NOT __long AND match_stage IS NOT NULL")
-    long = rows.where("__long").drop("match_stage").join(found.withColumnRenamed("__n", "__m"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__n") == F.col("__m"))).withColumn("match_stage", F.col("__stage"))
-    out = short.unionByName(long.select(*short.columns))
-    out = out.withColumn("match_id", (F.sum(F.when(F.col("match_stage") == 0, 1).otherwise(0)).over(byrow) - 1).cast("long"))
-    return out.select(*df.columns, "match_id", "match_stage")
+    return _matched(df.where(F.col(ts).isNotNull()), key, ts, ties, (None,) * n_stages, within_ms, None)
