@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.ivm.zset import WEIGHT, ZSet
+from tessera.storage import delete_path, state_path
 
 from .versioned import VersionedTable
 
@@ -21,9 +22,10 @@ def parse_envelopes(df: DataFrame, column: str, row: T.StructType | str) -> Data
     """
     kind = row if isinstance(row, str) else row.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     body = f"op STRING, before STRUCT<{kind}>, after STRUCT<{kind}>, source STRUCT<ts_ms: BIGINT, lsn: BIGINT, table: STRING>"
-    text = F.coalesce(F.get_json_object(column, "$.payload"), F.col(column))
-    e = F.from_json(text, body)
-    out = df.withColumn("__e", e).select("__e.op", "__e.before", "__e.after", F.col("__e.source.ts_ms").alias("ts_ms"), F.col("__e.source.lsn").alias("lsn"), F.col("__e.source.table").alias("table"))
+    # only texts that may name a payload (or spell it with escapes) are searched for one
+    text = F.coalesce(F.when(F.col(column).contains("payload") | F.col(column).contains("\\u"), F.get_json_object(column, "$.payload")), F.col(column))
+    # exploded, as each field and filter would else parse the text anew
+    out = df.withColumn("__e", F.explode(F.array(F.from_json(text, body)))).select("__e.op", "__e.before", "__e.after", F.col("__e.source.ts_ms").alias("ts_ms"), F.col("__e.source.lsn").alias("lsn"), F.col("__e.source.table").alias("table"))
     return out.withColumn("event_key", F.sha2(F.concat_ws("|", "table", F.col("lsn").cast("string"), "op"), 256))
 
 
@@ -47,8 +49,14 @@ def apply_changes(table: VersionedTable, envelopes: DataFrame, key: Sequence[str
         table.append(last.where("NOT __gone").drop("__gone"))
         return {"updated": 0, "deleted": 0, "inserted": table.read().count()}
     have = table.read().columns
-    missing = last.where("__gone").join(table.read().select(*key), list(key), "left_anti")
-    return table.merge(last.join(missing.select(*key), list(key), "left_anti"), key, matched={c: f"s.{c}" for c in have}, not_matched={c: f"s.{c}" for c in have}, delete_when="s.__gone")
+    # a merge reads its source several times, the log is read once
+    path = state_path(table.spark, "changes")
+    try:
+        last.write.parquet(path)
+        last = table.spark.read.schema(last.schema).parquet(path)
+        return table.merge(last, key, matched={c: f"s.{c}" for c in have}, not_matched={c: f"s.{c}" for c in have}, delete_when="s.__gone", insert_when="NOT s.__gone")
+    finally:
+        delete_path(table.spark, path)
 
 
 def route(envelopes: DataFrame, tables: Sequence[str]) -> dict[str, DataFrame]:

@@ -167,15 +167,15 @@ class VersionedTable:
             self._commit([*others, self._write(new)], schema, "update", base, rows=n)
         return n
 
-    def merge(self, source: DataFrame, on: Sequence[str], matched: dict[str, str] | str | None = "all", not_matched: dict[str, str] | str | None = "all", delete_when: str | None = None) -> dict[str, int]:
-        """Rows with the source's key are updated (or deleted where ``delete_when`` holds), others inserted.
+    def merge(self, source: DataFrame, on: Sequence[str], matched: dict[str, str] | str | None = "all", not_matched: dict[str, str] | str | None = "all", delete_when: str | None = None, insert_when: str | None = None) -> dict[str, int]:
+        """Rows with the source's key are updated (or deleted where ``delete_when`` holds), others inserted (where ``insert_when`` holds).
 
         Expressions name columns as ``t.x`` and ``s.x``.  A full outer join decides
         every row in one pass; two source rows for one target row are an error.
         """
         base, now = self.current_version(), self.read()
         twice = source.groupBy(*on).count().where("count > 1")
-        if not twice.join(now.select(*on), list(on), "left_semi").isEmpty():
+        if not twice.isEmpty() and not twice.join(now.select(*on), list(on), "left_semi").isEmpty():
             raise ValueError("several source rows match one target row")
         t, s = now.withColumn("__t", F.lit(True)).alias("t"), source.withColumn("__s", F.lit(True)).alias("s")
         cond = None
@@ -185,7 +185,7 @@ class VersionedTable:
         both = F.col("t.__t").isNotNull() & F.col("s.__s").isNotNull()
         only_s = F.col("t.__t").isNull()
         gone = (both & F.coalesce(F.expr(delete_when), F.lit(False))) if delete_when else F.lit(False)
-        skip = only_s if not_matched is None else F.lit(False)
+        skip = only_s if not_matched is None else (only_s & ~F.coalesce(F.expr(insert_when), F.lit(False))) if insert_when else F.lit(False)
         have = set(source.columns)
 
         def value(c: str, spec, own: Column) -> Column:
